@@ -40,10 +40,11 @@ def hot_keys(df: DataFrame, key: str, total: int, limit: int = HOT_ROWS) -> list
     return [r[0] for r in counted.select(key).collect() if r[0] is not None]
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
     """left ⋈ right on `key`, unique in right. Rows of a hot key on the left are spread over SALTS tasks,
-    the one matching row on the right is copied to each; all other keys join as usual."""
-    hot = hot_keys(left, key, total)
+    the one matching row on the right is copied to each; all other keys join as usual. `counted` may name a cheaper
+    frame with the same keys, to look for the hot ones; `total` is the number of its rows."""
+    hot = hot_keys(left if counted is None else counted, key, total)
     if not hot:
         return left.join(right, key, how)
     is_hot = F.col(key).isin(hot)
