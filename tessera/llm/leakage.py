@@ -40,7 +40,6 @@ BLOCK_CHARS = 4_000_000
 
 _ESCAPES = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|%([0-9a-fA-F]{2})|\\+[nrtbfv]|\\+(?=[\"'/\\])|=\r?\n")
 _TAGS = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
-_HYPHEN = re.compile(r"(?<=[^\W\d_])-\s*\n\s*(?=[^\W\d_])")
 
 
 def _unescape(m: re.Match) -> str:

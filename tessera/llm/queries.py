@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessera.llm import dedup, defects, groups, leakage, overlap, pieces, tokens, truncation
+from tessera.llm import dedup, defects, groups, leakage, overlap, pieces, subjects, tokens, truncation
 from tessera.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +33,8 @@ QUERIES: dict[str, Query] = {
     "p6_pieces": _tables("messages", "train_settings")(pieces.split_items),
     "p7_found": _tables("prompt_specs", "split_membership")(lambda p, m: overlap.cross_split(p, m).select("id_a", "id_b").distinct()),
     "p7_by_source": _tables("prompt_specs", "split_membership")(overlap.report),
+    "p10_found": _tables("documents", "doc_labels", "subjects")(subjects.subjects_of),
+    "p10_composition": _tables("documents", "doc_labels", "subjects")(subjects.composition),
     "p9_found": _tables("documents", "eval_items")(lambda d, e: leakage.leaks(d, e).select("doc_id", "item_id")),
     "p9_by_item": _tables("documents", "eval_items")(leakage.leaked_report),
     "p8_ids": _tables("documents")(tokens.encode_table),

@@ -28,7 +28,7 @@ LEAST_SENTENCES = 3
 #: The model is fitted on at most so many labelled documents, those of the smallest hashes; everything else covers all.
 LABELLED_DOCUMENTS = 6_000
 #: Rounds of expectation-maximization over the labelled sample, and over all documents.
-LABELLED_ROUNDS, CORPUS_ROUNDS = 4, 2
+LABELLED_ROUNDS, CORPUS_ROUNDS = 4, 1
 #: Share of documents a word must be in to be kept from the corpus rounds: it bounds the model, as a document has few words.
 LEAST_DOCUMENT_SHARE, LEAST_DOCUMENTS = 2e-4, 3
 #: Weight of a sentence of an unlabelled document against one of a labelled document.
