@@ -28,3 +28,4 @@ def p5_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_schema": p5_schema, "p5_rows": p5_rows}
+SQL: dict[str, str] = {}
