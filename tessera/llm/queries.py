@@ -41,6 +41,31 @@ QUERIES: dict[str, Query] = {
 }
 
 
+_TOKENS = "CAST(ceil(length(content) / 4.0) AS BIGINT)"
+SQL: dict[str, str] = {
+    # Rows that share an id or a digest, and so on: the smallest node that can be reached.
+    "p1_found": """WITH RECURSIVE rows AS (SELECT 'i' || id AS i, 'd' || coalesce(nullif(regexp_extract(lower(trim(prompt_group, E' \\n\\t\\r')), '[0-9a-f]{64}'), ''), nullif(lower(trim(prompt_group, E' \\n\\t\\r')), '')) AS d,
+ CASE lower(trim(split)) WHEN 'validation' THEN 'val' ELSE lower(trim(split)) END AS s FROM split_membership WHERE id IS NOT NULL),
+links AS (SELECT DISTINCT a.i, b.i AS j FROM rows a JOIN rows b ON a.d = b.d),
+reach AS (SELECT i, i AS j FROM rows UNION SELECT r.i, l.j FROM reach r JOIN links l ON r.j = l.i),
+sets AS (SELECT i, min(j) AS root FROM reach GROUP BY 1),
+torn AS (SELECT root FROM sets JOIN rows USING (i) GROUP BY 1 HAVING count(DISTINCT s) FILTER (s IN ('train', 'val', 'test')) > 1)
+SELECT substr(i, 2) AS id FROM sets WHERE root IN (SELECT root FROM torn)""",
+    "p6_found": f"SELECT DISTINCT message_key FROM messages m JOIN train_settings t ON coalesce(m.profile, (SELECT min(profile) FROM train_settings WHERE is_default)) = t.profile WHERE {_TOKENS} > max_seq_length",
+    "p4_limits": """WITH texts AS (SELECT source, rtrim(raw_response, '�') AS t FROM predictions WHERE raw_response IS NOT NULL AND source IS NOT NULL),
+more AS (SELECT source, t, length(t) AS n, len(string_split(t, E'\\n')) - 1 AS lf, len(string_split(t, E'\\r\\n')) - 1 AS crlf, len(string_split(t, '"')) - 1 AS q, len(string_split(t, '&')) - 1 AS amp, len(string_split(t, '<')) - 1 AS lt, len(string_split(t, '>')) - 1 AS gt, len(string_split(t, chr(92))) - 1 AS bs, len(string_split(t, E'\\t')) - 1 AS tab, len(string_split(t, E'\\r')) - 1 AS cr FROM texts),
+each AS (SELECT source, unnest(['characters','utf8_bytes','utf16_units','html_escaped','json_escaped','crlf']) AS measure, unnest([n, octet_length(encode(t)), n + n - length(regexp_replace(t, '[\\x{10000}-\\x{10FFFF}]', '', 'g')), n + amp * 4 + lt * 3 + gt * 3 + q * 5, n + lf + q + bs + tab + cr, n + lf - crlf]) AS length FROM more),
+counted AS (SELECT source, measure, length, count(*) AS k FROM each GROUP BY 1, 2, 3),
+top AS (SELECT source, measure, max(length) AS "limit", arg_max(k, length) AS at_limit, CAST(sum(k) AS BIGINT) AS answers FROM counted GROUP BY 1, 2)
+SELECT source, measure, CAST("limit" AS BIGINT) AS "limit", at_limit, answers FROM top WHERE at_limit >= 3 AND at_limit >= 0.03 * answers""",
+}
+
+
 def queries() -> dict[str, Query]:
     """All queries of this subpackage."""
     return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    """The SQL of those that SQL can express."""
+    return dict(SQL)
