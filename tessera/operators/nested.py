@@ -101,15 +101,15 @@ class Layout:
     maps: tuple[str, ...] = MAPS
 
 
-def layout(graph: DataFrame, maps: tuple[str, ...] = MAPS, most: int = 100_000) -> Layout:
-    """Decides by the graph, which has a row for each edge of the schema and not of the data. A graph of more than
+def layout(graph: DataFrame, maps: tuple[str, ...] = MAPS, always: tuple[str, ...] = (), most: int = 100_000) -> Layout:
+    """Decides by the graph; the elements in `always` are tables even if none repeats. The graph is read to the driver, as it has a row for each edge of the schema and not of the data. A graph of more than
     `most` edges is refused: then member names are data, and belong in `maps`."""
     edges = graph.limit(most + 1).collect()
     if len(edges) > most:
         raise ValueError(f"more than {most} edges: some element's member names are data; name it in maps")
     parents: dict[str, set[str]] = {}
     below: dict[str, set[str]] = {}
-    tables = {ROOT}
+    tables = {ROOT, *always}
     for e in edges:
         below.setdefault(e.parent, set()).add(e.element)
         if e.complex:
@@ -213,7 +213,7 @@ WORLD_TABLES = ("objects", "tags", "relations", "object_counts", "minimum_relati
 def world_children(records: DataFrame) -> DataFrame:
     """(run_id, child, pos, sub, label): one row for each object, tag, relation, expected count and minimum relation of
     records(run_id, record), wherever in the record and in whatever encoding they stand."""
-    flat = flatten(records, "run_id", "record", layout(schema_graph(records, "record")), WORLD_TABLES)
+    flat = flatten(records, "run_id", "record", layout(schema_graph(records, "record"), always=WORLD_TABLES), WORLD_TABLES)
     field = F.col("fields")
     amount = F.coalesce(field["value"], field["count"], field["minimum"], field["min"], field["n"], field["expected"])
     kind = F.coalesce(field["key"], field["object_type"], field["relation_type"], field["type"], field["kind"], field["name"])

@@ -36,7 +36,7 @@ SCENARIO = T.StructType([T.StructField("name", T.StringType()), T.StructField("p
 def read_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
     """One JSON object a line. Blank lines are passed over, a byte order mark is too; a bad line fails the query. Only line
     feeds end a line, so other line marks may stand within strings."""
-    text = spark.read.option("lineSep", "\n").text(paths).select(F.regexp_replace("value", "^﻿|\r$", "").alias("line")).where(F.trim("line") != "")
+    text = spark.read.option("lineSep", "\n").text(paths).select(F.regexp_replace("value", r"^\x{FEFF}|\r$", "").alias("line")).where(F.trim("line") != "")
     parsed = text.select(F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r"))
     return parsed.select("r.*")
 
