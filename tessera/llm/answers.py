@@ -110,7 +110,7 @@ def ending(text: str) -> tuple[str, str]:
             # Sentences may follow a finished object; then their end decides.
             rest = FENCE_END.sub("", markup[stop:]).strip("` \n\r\t")
             return ending(rest) if kind == "object" and len(words(rest)) > 5 else (kind, "whole")
-    if "�" in body[-2:]:
+    if "\ufffd" in body[-2:]:
         return "prose", "cut"
     lines = [s for s in body.splitlines() if s.strip()]
     if not lines:
@@ -145,7 +145,7 @@ def is_empty(text: str | None) -> bool:
     """Null, blank, or nothing but an empty container, a fence or a placeholder."""
     if text is None:
         return True
-    body = re.sub(r"```[\w-]*", "", text).strip().strip("​﻿").strip()
+    body = re.sub(r"```[\w-]*", "", text).strip().strip("\u200b\ufeff").strip()
     if not body or body.lower() in PLACEHOLDERS or not re.search(r"\w", body):
         return len(body) <= 12 or not body.strip("`'\"{}[]()<>.,:;-–—_*#~… \n\t")
     if body[0] in "{[\"" and len(body) < 400:

@@ -26,12 +26,12 @@ BOUNDARIES = (
     (re.compile(r"\s+"), 4.0),
 )
 PLAIN_CUT = 16.0
-#: Boundaries that cost as much are offered only where no cheaper one lies within a sixteenth of the limit on both sides.
+#: Boundaries that cost as much are offered only where no cheaper one lies within a sixteenth of the step on both sides.
 DEAR = 2.0
 #: Weight of a piece's squared deviation from the even size, as a share of the limit.
 IMBALANCE = 1.0
-#: Positions inside unbroken runs are offered at this many per limit.
-PLAIN_PER_LIMIT = 16
+#: Positions inside unbroken runs are offered at this many for each step, the limit less the overlap.
+PLAIN_PER_STEP = 16
 
 
 def tokens(length: int) -> int:
@@ -39,9 +39,10 @@ def tokens(length: int) -> int:
     return -(-length // TOKEN_CHARS)
 
 
-def boundaries(text: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions where a piece may end (0 < position < length), ascending, and the cost of each. Where no boundary lies
-    within a sixteenth of the limit, plain positions fill the gap, so that every limit can be met."""
+def boundaries(text: str, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions where a piece may end (0 < position < length), ascending, and the cost of each. `step` is how far a piece
+    can go beyond its overlap. Where no boundary lies within a sixteenth of it, plain positions fill the gap, so that every
+    limit can be met."""
     n = len(text)
     cost = np.full(n + 1, np.inf)
     for pattern, price in reversed(BOUNDARIES):
@@ -49,7 +50,7 @@ def boundaries(text: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
         cost[ends] = price
     cost[0] = cost[n] = np.inf
     known = np.flatnonzero(np.isfinite(cost))
-    stride = max(1, limit // PLAIN_PER_LIMIT)
+    stride = max(1, step // PLAIN_PER_STEP)
     edges = np.concatenate(([0], known, [n]))
     gaps = np.flatnonzero(np.diff(edges) > stride)
     plain = [np.arange(edges[g] + stride, edges[g + 1], stride) for g in gaps]
@@ -58,7 +59,9 @@ def boundaries(text: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
     places = np.flatnonzero(np.isfinite(cost))
     costs = cost[places]
     # A dear boundary with a much cheaper one close by on either side never makes a better cut.
-    good = np.concatenate(([-n - limit], places[costs < DEAR], [2 * n + limit]))
+    if 2 * stride > step:
+        return places, costs
+    good = np.concatenate(([-n - step], places[costs < DEAR], [2 * n + step]))
     right = np.searchsorted(good, places)
     keep = (costs < DEAR) | (good[right] - places > stride) | (places - good[right - 1] > stride)
     return places[keep], costs[keep]
@@ -72,9 +75,7 @@ def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     overlap = max(0, min(overlap, limit - 1))
     if n <= limit:
         return [(0, n)]
-    places, costs = boundaries(text, limit)
-    if limit - overlap <= max(1, limit // PLAIN_PER_LIMIT):
-        places, costs = np.arange(1, n), np.interp(np.arange(1, n), places, costs) + PLAIN_CUT
+    places, costs = boundaries(text, limit - overlap)
     ends = np.concatenate((places, [n]))
     prices = np.concatenate((costs, [0.0]))
     count = -(-(n - overlap) // (limit - overlap))

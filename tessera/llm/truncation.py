@@ -29,7 +29,7 @@ def _more(text: Column, mark: str, extra: int) -> Column:
 
 def lengths(text: Column) -> dict[str, Column]:
     """The length of a text as stores count it; a replacement character at the end, left of a torn one, is left out."""
-    text = F.regexp_replace(text, "�+$", "")
+    text = F.regexp_replace(text, "\ufffd+$", "")
     chars = F.char_length(text)
     lines = _more(text, "\n", 1)
     html = _more(text, "&", 4) + _more(text, "<", 3) + _more(text, ">", 3) + _more(text, '"', 5)
