@@ -12,7 +12,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.runtime import cut, join_unique
 
@@ -46,9 +45,8 @@ class Forest:
 
 
 def spanning_forest(edges: DataFrame) -> Forest:
-    """Spanning forest of edges(a, b), strings. Self loops and nulls carry nothing; repeated edges count once.
+    """Spanning forest of edges(a, b), both of one type that can be ordered. Self loops and nulls carry nothing; repeated edges count once.
     An empty input gives an empty forest. Every round at least halves the number of trees that still have an edge."""
-    spark = edges.sparkSession
     edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     edges = edges.select("a", "b").distinct().withColumn("e", F.struct(F.xxhash64("a", "b").alias("w"), F.col("a").alias("ea"), F.col("b").alias("eb")))
     edges = cut(edges)
@@ -81,20 +79,24 @@ def spanning_forest(edges: DataFrame) -> Forest:
         edges = cut(edges.groupBy("a", "b").agg(F.min("e").alias("e")))
         left = edges.count()
     if labels is None:
-        empty = spark.createDataFrame([], T.StructType([T.StructField("v", T.StringType()), T.StructField("root", T.StringType())]))
-        return Forest(empty, empty.select(F.col("v").alias("a"), F.col("root").alias("b")))
+        return Forest(edges.select(F.col("a").alias("v"), F.col("b").alias("root")), edges.select("a", "b"))
     return Forest(labels, reduce(DataFrame.unionByName, chosen).select(F.col("ea").alias("a"), F.col("eb").alias("b")).distinct())
 
 
+def _vertex(kind: str, name: Column) -> Column:
+    """A vertex of the graph: 128 bits of the kind and the name. Shuffles carry 16 bytes, however long names are."""
+    return F.unhex(F.md5(F.concat(F.lit(kind), name)))
+
+
 def related_ids(members: DataFrame) -> DataFrame:
     """(id, root, splits): each id of members(id, prompt_group, split) once, the root of its set and the splits of its
     own rows as bits (1 train, 2 val, 4 test). Rows joined by an id or a digest, or a chain of them, share a root;
     an id without digest is its own root; a null id takes no part."""
     bits = F.when(F.col("s") == "train", 1).when(F.col("s") == "val", 2).when(F.col("s") == "test", 4).otherwise(0)
-    rows = members.where(F.col("id").isNotNull()).select(F.concat(F.lit("i"), "id").alias("v"), F.concat(F.lit("d"), digest_name(F.col("prompt_group"))).alias("d"), split_name(F.col("split")).alias("s"))
-    forest = spanning_forest(rows.select(F.col("v").alias("a"), F.col("d").alias("b")))
-    own = rows.groupBy("v").agg(F.bit_or(bits).alias("splits"))
-    return cut(own.join(forest.labels, "v", "left").select(F.substring("v", 2, 1 << 30).alias("id"), F.coalesce("root", "v").alias("root"), "splits"))
+    rows = members.where(F.col("id").isNotNull()).select("id", digest_name(F.col("prompt_group")).alias("d"), split_name(F.col("split")).alias("s"))
+    forest = spanning_forest(rows.where(F.col("d").isNotNull()).select(_vertex("i", F.col("id").cast("string")).alias("a"), _vertex("d", F.col("d")).alias("b")))
+    own = rows.groupBy("id").agg(F.bit_or(bits).alias("splits")).withColumn("v", _vertex("i", F.col("id").cast("string")))
+    return cut(own.join(forest.labels, "v", "left").select("id", F.coalesce("root", "v").alias("root"), "splits"))
 
 
 def torn_ids(members: DataFrame) -> DataFrame:
