@@ -249,8 +249,7 @@ def ends_with_question(answer: str, question: str) -> bool:
     a, q = words(plain(strip_marks(answer.strip())[0])), _question(question)[0]
     if not a or not q or sum((Counter(q) - Counter(a)).values()) > len(q) / 20:
         return False
-    _, parts = segments(question)
-    return any(a[-1] == p[-1] and a[-2:-1] == p[-2:-1] for p in parts if len(p) > 1) or a[-1] == q[-1]
+    return any(a[-1] == p[-1] and a[-2:-1] == p[-2:-1] for p in segments(question) if len(p) > 1) or a[-1] == q[-1]
 
 
 #: Names of languages in requests such as `answer in German` (fixed values).

@@ -79,28 +79,30 @@ def fields(text: str) -> list[tuple[str, list[str]]] | None:
     return None
 
 
-def segments(text: str | None) -> tuple[str, list[list[str]]]:
-    """("fields" | "text" | "", word lists): one list for each field (its name first) or sentence; "" if there is no word."""
+def forms(text: str | None) -> tuple[str | None, list[list[str]]]:
+    """The canonical string of a text and its segments.
+
+    The string is one for all outward forms: fields sorted by name, each value bound to its name; or the words in their
+    order; null for null, blank and wordless texts. The segments are word lists, one for each field (its name first) or
+    sentence."""
     if not text:
-        return "", []
+        return None, []
     low = plain(text)
     named = fields(low)
     if named is not None:
-        return "fields", [[*words(name), *value] for name, value in named]
+        return "\x1e" + "\x1e".join(f"{name}\x1f{' '.join(value)}" for name, value in named), [[*words(name), *value] for name, value in named]
     found = [w for s in SENTENCE_END.split(low) if (w := words(s))]
-    return ("text", found) if found else ("", [])
+    return " ".join(words(low)) or None, found
 
 
 def canonical(text: str | None) -> str | None:
-    """One string for all outward forms of a text: fields sorted by name, each value bound to its name; or the words in
-    their order. Null for null, blank and wordless texts."""
-    if not text:
-        return None
-    low = plain(text)
-    named = fields(low)
-    if named is not None:
-        return "\x1e" + "\x1e".join(f"{name}\x1f{' '.join(value)}" for name, value in named)
-    return " ".join(words(low)) or None
+    """The canonical string of a text."""
+    return forms(text)[0]
+
+
+def segments(text: str | None) -> list[list[str]]:
+    """The segments of a text."""
+    return forms(text)[1]
 
 
 @F.pandas_udf(T.StructType([T.StructField("canon", T.StringType()), T.StructField("segs", T.StringType())]))
@@ -108,8 +110,8 @@ def _canon(texts: pd.Series) -> pd.DataFrame:
     """The canonical string, and the segments: a line each, words parted by a space."""
     out = []
     for text in texts:
-        canon = canonical(text)
-        out.append((canon, None if canon is None else "\n".join(map(" ".join, segments(text)[1]))))
+        canon, parts = forms(text)
+        out.append((canon, None if canon is None else "\n".join(map(" ".join, parts))))
     return pd.DataFrame(out, columns=["canon", "segs"])
 
 
