@@ -83,6 +83,11 @@ def list_open(lines: list[str]) -> bool:
     return not re.search(r"[)\].!?。\w]$", lines[-1].strip())
 
 
+def _ends(text: str) -> bool:
+    """A sentence ends here; what may follow its mark is short."""
+    return bool(TERMINAL.search(text[-LONGEST_MARK:]))
+
+
 def _is_short(items: list[str]) -> bool:
     """Items of a few words, as in a list of placements, and not of whole sentences."""
     return sum(len(words(s)) for s in items) <= 8 * len(items)
@@ -115,25 +120,25 @@ def ending(text: str) -> tuple[str, str]:
     lines = [s for s in body.splitlines() if s.strip()]
     if not lines:
         return "prose", "cut" if marked else "whole"
-    if marked and not TERMINAL.search(body):
+    if marked and not _ends(body):
         bulleted = sum(bool(BULLET.match(s)) for s in lines)
         return "list" if bulleted and 2 * bulleted >= len(lines) - 1 else "prose", "cut"
     last = lines[-1]
     if BULLET.match(last):
         items = [s for s in lines if BULLET.match(s)]
-        if TERMINAL.search(last):
+        if _ends(last):
             return ("list" if _is_short(items) else "prose"), "whole"
         if not _is_short(items):
             return "prose", "open"
         return "list", "cut" if list_open(items) else "whole"
     bulleted = [s for s in lines[:-1] if BULLET.match(s)]
     kind = "list" if 2 * len(bulleted) >= len(lines) - 1 and bulleted else "prose"
-    if TERMINAL.search(last):
+    if _ends(last):
         return kind, "whole"
     if kind == "prose" and len(lines) == 1 and last.rstrip().endswith(":") or len(lines) == 1 and kind == "list":
         return kind, "cut"
     before = lines[-2] if len(lines) > 1 else ""
-    ended = bool(TERMINAL.search(before)) or bool(BULLET.match(before)) and not list_open(bulleted)
+    ended = bool(_ends(before)) or bool(BULLET.match(before)) and not list_open(bulleted)
     if ended and (CLOSING.match(last) or SIGN.match(last.strip())):
         return kind, "whole"
     if kind == "list":
@@ -145,6 +150,8 @@ def is_empty(text: str | None) -> bool:
     """Null, blank, or nothing but an empty container, a fence or a placeholder."""
     if text is None:
         return True
+    if len(text) > 400 and len(text.strip()) > 400 and re.search(r"\w", text[:400]):
+        return False
     body = re.sub(r"```[\w-]*", "", text).strip().strip("\u200b\ufeff").strip()
     if not body or body.lower() in PLACEHOLDERS or not re.search(r"\w", body):
         return len(body) <= 12 or not body.strip("`'\"{}[]()<>.,:;-–—_*#~… \n\t")
@@ -185,7 +192,7 @@ REFUSAL = re.compile(
     re.I,
 )
 #: What every sentence of the grammar has in it; a text without any of these needs no parsing (fixed values).
-REFUSAL_HINTS = ("n't", "n’t", "cannot", "not able", "not allowed", "not permitted", "can not", "could not", "will not", "do not", "unable", "decline", "refuse", "rather not", "have to say", "request", "wish", "outside of what", "outside what", "ich ", "je ne", "je dois", "je refuse", "je préfère", "no puedo", "no debo", "no voy", "no me es", "rechazar", "negarme", "declinar", "prefiero", "niego", "non posso", "rifiutare", "nie mogę", "odmówić", "не могу", "отказать", "不能", "无法", "抱歉")
+REFUSAL_HINTS = ("n't", "n’t", "cannot", "not able", "not allowed", "not permitted", "can not", "could not", "will not", "do not", "unable", "decline", "refuse", "rather not", "have to say", "request", "wish", "outside of what", "outside what", " ich ", "ich lehne", "ich kann", "ich darf", "ich werde", "ich muss", "ich möchte", "je ne", "je dois", "je refuse", "je préfère", "no puedo", "no debo", "no voy", "no me es", "rechazar", "negarme", "declinar", "prefiero", "niego", "non posso", "rifiutare", "nie mogę", "odmówić", "не могу", "отказать", "不能", "无法", "抱歉")
 REFUSED_ERROR = re.compile(r"declin|refus|reject\w* by policy|policy|safety|content filter|blocked by|moderat|not permitted|forbidden content", re.I)
 REFUSED_FIELD = re.compile(r"[\"'](?:error|status|reason|message|refusal|detail)[\"']\s*:\s*[\"'][^\"']*(?:cannot|can't|unable|refus|declin|policy|not allowed|denied|reject)", re.I)
 

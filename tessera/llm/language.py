@@ -23,6 +23,7 @@ for _k, _v in _SETS.items():
         _BY_WORD[_w] = (*_BY_WORD.get(_w, ()), _k)
 #: Scripts that settle the language by themselves (fixed values).
 SCRIPTS = (("ja", re.compile("[぀-ヿ]")), ("zh", re.compile("[一-鿿]")), ("ko", re.compile("[가-힯]")), ("ru", re.compile("[Ѐ-ӿ]")), ("el", re.compile("[Ͱ-Ͽ]")), ("ar", re.compile("[؀-ۿ]")), ("he", re.compile("[֐-׿]")), ("hi", re.compile("[ऀ-ॿ]")))
+_ANY_SCRIPT = re.compile("[" + "".join(p.pattern[1:-1] for _, p in SCRIPTS) + "]")
 _WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
 QUOTED = re.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|\"[^\"]*\"|‘[^’]*’")
@@ -30,7 +31,7 @@ QUOTED = re.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|\"[^\"]*\"|
 
 def language(text: str) -> str | None:
     """The language of a stretch of text, None if nothing tells."""
-    if not text.isascii():
+    if not text.isascii() and _ANY_SCRIPT.search(text):
         letters = len(_WORDS.findall(text))
         for name, script in SCRIPTS:
             n = len(script.findall(text))
@@ -56,7 +57,7 @@ def sentences(text: str) -> list[str]:
 def clear_language(text: str) -> str | None:
     """The language of a text in Latin script if nine in ten of its telling words are of it; a quick answer for the many
     texts in one language."""
-    if not text.isascii() and any(p.search(text) for _, p in SCRIPTS):
+    if not text.isascii() and _ANY_SCRIPT.search(text):
         return None
     votes: Counter = Counter()
     for w in _WORDS.findall(text.lower()):
