@@ -7,8 +7,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key held by more rows than this is salted. At most total / HOT_ROWS keys can be hot, so their list is small.
-HOT_ROWS = 200_000
+#: A key is hot, and salted, if it is held by more rows than this and by more than one row in MOST_HOT; so there are never
+#: more than MOST_HOT hot keys, whatever the size of the table.
+HOT_ROWS = 20_000
+MOST_HOT = 500
 SALTS = 32
 
 
@@ -32,8 +34,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def hot_keys(df: DataFrame, key: str, total: int, limit: int = HOT_ROWS) -> list:
-    """Keys of df held by more than `limit` rows: at most total / limit of them. None can exist when total is no larger."""
+def hot_keys(df: DataFrame, key: str, total: int, least: int = HOT_ROWS) -> list:
+    """Hot keys of df, which has `total` rows. None can exist when total is no larger than the least number."""
+    limit = max(least, total // MOST_HOT)
     if total <= limit:
         return []
     counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
