@@ -173,7 +173,7 @@ def greedy_distinct(rows: DataFrame, order: str, keys: tuple[str, str], batch: i
                 seen[1].add(b)
         return frame.sort_values(order)[keep]
 
-    return rows.groupBy(F.lit(0)).applyInPandas(fold, rows.schema)
+    return rows.groupBy(F.lit("all")).applyInPandas(fold, rows.schema)
 
 
 def repair_rounds(cases: DataFrame, backend: Callable[[list[str], list[str | None]], list[str]], validate: Callable[[DataFrame], DataFrame], attempts: int = 3) -> DataFrame:

@@ -91,13 +91,17 @@ def category(code: Column) -> Column:
     return F.coalesce(known[code], F.lit("other"))
 
 
-def by_category(found: DataFrame) -> DataFrame:
-    """(category, issues, worlds): occurrences and worlds concerned of all categories, zero where there are none."""
-    domain = found.sparkSession.createDataFrame([(c,) for c in CATEGORIES], "category string")
-    counted = found.groupBy(category(F.col("code")).alias("category")).agg(F.count(F.lit(1)).alias("issues"), F.count_distinct("world").alias("worlds"))
+def zero_filled(counted: DataFrame) -> DataFrame:
+    """(category, issues, worlds) of all categories, zero where there are none."""
+    domain = counted.sparkSession.createDataFrame([(c,) for c in CATEGORIES], "category string")
     return F.broadcast(domain).join(counted, "category", "left").select("category", F.coalesce("issues", F.lit(0)).alias("issues"), F.coalesce("worlds", F.lit(0)).alias("worlds"))
 
 
+def by_category(found: DataFrame) -> DataFrame:
+    """(category, issues, worlds): occurrences and worlds concerned of all categories."""
+    return zero_filled(found.groupBy(category(F.col("code")).alias("category")).agg(F.count(F.lit(1)).alias("issues"), F.count_distinct("world").alias("worlds")))
+
+
 def world_flags(objects: DataFrame, found: DataFrame) -> DataFrame:
     """(world, valid, boundary_correct, overlap_free): verdicts on each world that has objects."""
     codes = found.groupBy("world").agg(F.collect_set("code").alias("codes"))

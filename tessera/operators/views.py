@@ -52,6 +52,35 @@ def relations(things: DataFrame) -> DataFrame:
     return edges.select("world", F.explode(F.array_compact(variants)).alias("e")).select("world", "e.*")
 
 
+def worlds(spark: SparkSession, folder: str) -> DataFrame:
+    """(world, width, height, objects, relations): the same worlds, one row each. The order lines are shuffled once."""
+    lines = table(spark, folder, "lineitem")
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+    packed = lines.groupBy(F.col("l_orderkey").alias("world")).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("lines"))
+
+    def thing(line: Column, i: Column) -> Column:
+        kind = _choose(OBJECT_TYPES, line["l_partkey"] % 18)
+        x, y = (line["l_partkey"] % 32).cast("int"), (line["l_suppkey"] % 24).cast("int")
+        w, h = 1 + line["l_quantity"].cast("int") % 4, (1 + line["l_partkey"] % 3).cast("int")
+        return F.struct(
+            (i + 1).alias("pos"), F.concat(F.lit("o_"), line["l_linenumber"]).alias("id"), kind.alias("kind"), x.alias("x"), y.alias("y"),
+            (x + w).alias("r"), (y + h).alias("b"), layer(kind).alias("layer"),
+        )
+
+    made = packed.select("world", F.transform("lines", thing).alias("objects"))
+    edge = lambda pos, kind, a, b: F.struct(pos.alias("pos"), kind.alias("relation_type"), a.alias("source"), b.alias("target"))
+    following = F.transform(
+        F.slice("objects", F.lit(1), F.size("objects") - 1), lambda o, i: edge(o["pos"], _choose(RELATION_TYPES, o["pos"] % 3), o["id"], F.get("objects", i + 1)["id"])
+    )
+    made = made.withColumn("_chain", following)
+    back = F.transform("_chain", lambda e: edge(e["pos"] + 100, e["relation_type"], e["target"], e["source"]))
+    first = F.get("objects", F.lit(0))
+    unknown = F.array(edge(first["pos"] + 200, F.lit("near"), first["id"], F.lit("o_99")))
+    none = F.filter("_chain", lambda e: F.lit(False))
+    edges = F.concat("_chain", F.when(F.col("world") % 5 == 0, back).otherwise(none), F.when(F.col("world") % 7 == 0, unknown).otherwise(none))
+    return made.select("world", "objects", edges.alias("relations")).join(maps(spark, folder), "world", "left")
+
+
 #: The same views in SQL, for a WITH clause.
 SQL = """
 maps AS (SELECT o_orderkey AS world, CAST(24 + 8 * (o_custkey % 2) AS INTEGER) AS width, CAST(20 + 4 * (o_custkey % 2) AS INTEGER) AS height,

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.decode import decoded, world_maps, world_objects, world_relations
+from tessera.functions.decode import decoded
 from tessera.functions.text import normal, ordering, prompt_group, squeeze
-from tessera.operators import audit, curate, validate, windows
+from tessera.operators import audit, curate, evaluate, windows
 from tessera.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -260,12 +260,11 @@ def run_durations(spark: SparkSession, folder: str) -> DataFrame:
 @query("run_progress", RUNS_SQL + ", planned AS (SELECT count(DISTINCT id) AS n FROM prompt_specs), s AS (SELECT count(*) FILTER (status = 'success') AS succeeded, count(*) AS processed, sum(us) FILTER (us > 0) AS us, count(*) FILTER (us > 0) AS timed FROM runs) SELECT n AS planned, processed, n - processed AS pending, succeeded, processed - succeeded AS failed, round(succeeded / nullif(processed, 0), 6) AS success_rate, CAST(us // nullif(timed, 0) * (n - processed) AS BIGINT) AS remaining_micros FROM planned, s")
 def run_progress(spark: SparkSession, folder: str) -> DataFrame:
     """Progress of the inventory: rates are null where nothing was processed."""
-    planned = table(spark, folder, "prompt_specs").agg(F.count_distinct("id").alias("planned"))
+    planned = table(spark, folder, "prompt_specs").agg(F.count_distinct("id")).first()[0]
     good = F.col("us") > 0
     done = _runs(spark, folder).agg(F.count_if(F.col("status") == "success").alias("succeeded"), F.count(F.lit(1)).alias("processed"), F.sum(F.when(good, F.col("us"))).alias("us"), F.count_if(good).alias("timed"))
     pending = F.col("planned") - F.col("processed")
-    # One row on either side.
-    return planned.crossJoin(done).select("planned", "processed", pending.alias("pending"), "succeeded", (F.col("processed") - F.col("succeeded")).alias("failed"), F.round(F.try_divide("succeeded", "processed"), 6).alias("success_rate"), (F.expr("try_divide(us - us % timed, timed)").cast("long") * pending).alias("remaining_micros"))
+    return done.withColumn("planned", F.lit(planned)).select("planned", "processed", pending.alias("pending"), "succeeded", (F.col("processed") - F.col("succeeded")).alias("failed"), F.round(F.try_divide("succeeded", "processed"), 6).alias("success_rate"), (F.expr("try_divide(us - us % timed, timed)").cast("long") * pending).alias("remaining_micros"))
 
 
 @query("run_status_distribution", RUNS_SQL + " SELECT coalesce(status, 'interrupted') AS status, count(*) AS runs FROM runs GROUP BY 1")
@@ -345,15 +344,23 @@ def _answers(spark: SparkSession, folder: str) -> DataFrame:
     return decoded(rows.dropDuplicates(["prediction_key"]), "raw_response")
 
 
+def _judged(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts on all predictions against the expectations of their prompt or suite case."""
+    rows = table(spark, folder, "predictions").where("prediction_key IS NOT NULL").select("prediction_key", "id", "variant", "raw_response").dropDuplicates(["prediction_key"])
+    wanted = table(spark, folder, "prompt_specs").select("id", "expectations").dropDuplicates(["id"]).unionByName(table(spark, folder, "suite_cases").select("id", "expectations"))
+    return evaluate.verdicts(rows.join(wanted, "id", "left"), "raw_response", "expectations")
+
+
 @query("strict_rates")
 def strict_rates(spark: SparkSession, folder: str) -> DataFrame:
-    """Share of predictions, by variant, that are JSON, that meet the schema, and that meet the geometry."""
-    answers = _answers(spark, folder).select("prediction_key", "variant", "json_ok", "schema_ok", "world").persist()
-    things = world_objects(answers, "prediction_key")
-    found = validate.issues(things, world_relations(answers, "prediction_key"), world_maps(answers, "prediction_key"))
-    flagged = answers.select("prediction_key", "variant", "json_ok", "schema_ok").join(found.select(F.col("world").alias("prediction_key")).distinct().withColumn("bad", F.lit(True)), "prediction_key", "left")
-    rate = lambda c: F.round(F.avg(c.cast("int")), 6)
-    return flagged.groupBy("variant").agg(F.count(F.lit(1)).alias("samples"), rate(F.col("json_ok")).alias("json_rate"), rate(F.col("schema_ok")).alias("schema_rate"), rate(F.col("schema_ok") & F.col("bad").isNull()).alias("spatial_rate"))
+    """Share of predictions, by variant, that are JSON, meet the schema, the geometry, the counts and all expectations."""
+    return evaluate.rates(_judged(spark, folder), "variant")
+
+
+@query("strict_statuses")
+def strict_statuses(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions by variant and the first layer they fail."""
+    return _judged(spark, folder).groupBy("variant", "status").agg(F.count(F.lit(1)).alias("predictions"))
 
 
 @query("strict_issue_codes")
@@ -397,3 +404,12 @@ def source_shares(spark: SparkSession, folder: str) -> DataFrame:
     counted = table(spark, folder, "documents").where("source IS NOT NULL").groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
     return counted.withColumn("quarter", F.ntile(4).over(Window.orderBy("documents", "source")))
 
+
+
+@query("run_attempts")
+def run_attempts(spark: SparkSession, folder: str) -> DataFrame:
+    """Attempts, tokens and missing usage of the runs, by the status of the last attempt."""
+    from tessera.sources import runs
+
+    each = runs.reported(runs.attempts_of(table(spark, folder, "run_records")))
+    return each.groupBy("last_status").agg(F.count(F.lit(1)).alias("runs"), F.sum("attempts").alias("attempts"), F.sum("tokens").alias("tokens"), F.sum("without_usage").alias("without_usage"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.domain import NEAR_TILES, OBJECT_TYPES, RELATION_TYPES
-from tessera.operators import expect, score, stats, validate, views
+from tessera.operators import expect, local, score, stats, validate, views
 from tessera.operators.geometry import Box, contains, distance, edge_valid, in_bounds, overlaps, same_bounds, shares_edge, touches_border
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,8 +59,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _issues(spark: SparkSession, folder: str) -> DataFrame:
-    things = views.objects(spark, folder)
-    return validate.issues(things, views.relations(things), views.maps(spark, folder))
+    return local.issues(views.worlds(spark, folder))
 
 
 @query("geo_bounds", WITH + "SELECT o.world, o.pos, o.id, o.kind, o.x, o.y, o.r, o.b, o.layer, (o.r <= m.width AND o.b <= m.height) AS in_bounds, (o.x = 0 OR o.y = 0 OR o.r = m.width OR o.b = m.height) AS at_border FROM objects o JOIN maps m ON o.world = m.world")
@@ -103,7 +102,7 @@ for _code in ("duplicate_id", "out_of_bounds", "duplicate_relation", "self_relat
 @query("val_code_histogram", WITH + ISSUES_SQL + "SELECT code, count(*) AS issues, count(DISTINCT world) AS worlds FROM issues GROUP BY 1")
 def val_code_histogram(spark: SparkSession, folder: str) -> DataFrame:
     """Issues and worlds by code."""
-    return _issues(spark, folder).groupBy("code").agg(F.count(F.lit(1)).alias("issues"), F.count_distinct("world").alias("worlds"))
+    return local.histogram(views.worlds(spark, folder), "code")
 
 
 @query(
@@ -114,7 +113,7 @@ SELECT c.category, count(t.world) AS issues, count(DISTINCT t.world) AS worlds F
 )
 def val_category_histogram(spark: SparkSession, folder: str) -> DataFrame:
     """Issues and worlds by category, zero-filled."""
-    return validate.by_category(_issues(spark, folder))
+    return validate.zero_filled(local.histogram(views.worlds(spark, folder), "category", validate.category))
 
 
 FLAGS_SQL = """, flags AS (SELECT o.world, count(i.code) = 0 AS valid, count(*) FILTER (i.code IN ('out_of_bounds','duplicate_id')) = 0 AS boundary_correct,
@@ -122,11 +121,18 @@ FLAGS_SQL = """, flags AS (SELECT o.world, count(i.code) = 0 AS valid, count(*)
 """
 
 
+@query("val_joined_histogram", WITH + ISSUES_SQL + "SELECT code, count(*) AS issues, count(DISTINCT world) AS worlds FROM issues GROUP BY 1")
+def val_joined_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    """Issues and worlds by code, by joins over exploded tables instead of row by row."""
+    things = views.objects(spark, folder)
+    found = validate.issues(things, views.relations(things), views.maps(spark, folder))
+    return found.groupBy("code").agg(F.count(F.lit(1)).alias("issues"), F.count_distinct("world").alias("worlds"))
+
+
 @query("val_world_flags", WITH + ISSUES_SQL + FLAGS_SQL + "SELECT * FROM flags")
 def val_world_flags(spark: SparkSession, folder: str) -> DataFrame:
     """Validity, boundary and overlap verdicts by world."""
-    things = views.objects(spark, folder)
-    return validate.world_flags(things, validate.issues(things, views.relations(things), views.maps(spark, folder)))
+    return local.world_flags(views.worlds(spark, folder))
 
 
 @query("val_rates", WITH + ISSUES_SQL + FLAGS_SQL + "SELECT count(*) AS worlds, round(avg(CAST(valid AS INTEGER)), 6) AS valid_rate, round(avg(CAST(boundary_correct AS INTEGER)), 6) AS boundary_accuracy, round(avg(CAST(overlap_free AS INTEGER)), 6) AS overlap_free_rate FROM flags")

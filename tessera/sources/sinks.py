@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -95,3 +96,31 @@ def comparison(metrics: Mapping[str, Sequence[float | None]], names: Sequence[st
         change = None if values[0] is None or values[-1] is None else values[-1] - values[0]
         lines.append(f"| {metric} | {' | '.join(map(percent, values))} | {percent(change, True)} |")
     return "\n".join(lines) + "\n"
+
+
+def freeze(path: str | Path, contract: Mapping[str, object]) -> None:
+    """The contract of a run: written at its beginning, and the same in every run that goes on with it."""
+    target = Path(path)
+    if not target.exists():
+        write_json(target, dict(contract))
+        return
+    known = json.loads(target.read_text(encoding="utf-8"))
+    changed = sorted(k for k in known.keys() | contract.keys() if known.get(k) != contract.get(k))
+    if changed:
+        raise ValueError(f"the contract has changed: {', '.join(changed)}")
+
+
+@contextmanager
+def single_writer(folder: str | Path) -> Iterator[None]:
+    """Holds a folder against a second writer."""
+    lock = Path(folder) / ".lock"
+    lock.parent.mkdir(parents=True, exist_ok=True)
+    try:
+        handle = os.open(lock, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+    except FileExistsError:
+        raise RuntimeError(f"{folder} has a writer") from None
+    try:
+        yield
+    finally:
+        os.close(handle)
+        lock.unlink()

@@ -10,9 +10,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normal, normal_exact, ordering
-from tessera.operators import audit, curate, nested, windows
+from tessera.operators import audit, curate, evaluate, generate, nested, windows
 from tessera.runtime import join_unique
-from tessera.sources import documents, sinks
+from tessera.sources import documents, runs, sinks
 from tessera.streaming import ingest
 
 
@@ -160,6 +160,52 @@ def test_sources_and_sinks(spark, tmp_path):
         documents.replay(rows, {"One": "1"})
 
 
+def test_contract_and_lock(tmp_path):
+    sinks.freeze(tmp_path / "c.json", {"seed": 1})
+    sinks.freeze(tmp_path / "c.json", {"seed": 1})
+    with pytest.raises(ValueError):
+        sinks.freeze(tmp_path / "c.json", {"seed": 2})
+    with sinks.single_writer(tmp_path), pytest.raises(RuntimeError), sinks.single_writer(tmp_path):
+        pass
+    with sinks.single_writer(tmp_path):
+        pass
+
+
+def test_attempts(spark):
+    record = json.dumps({"run_id": "r", "attempts": [{"number": 1, "status": "invalid", "provider": {"requested_model": "m", "usage": {"total_tokens": 5}}}, {"number": 2, "status": None, "provider": {"usage": None}}]})
+    made = runs.reported(runs.attempts_of(spark.createDataFrame([("r", record), ("q", "{}"), ("p", None)], "run_id string, record string")))
+    assert [tuple(r) for r in made.collect()] == [("r", 2, 5, 1, None)]
+    reasons = spark.createDataFrame([("success", ["a"]), ("failed", ["b", "a", "b"]), ("failed", None), (None, None)], "s string, c array<string>").select(runs.failure_reasons(F.col("s"), F.col("c")).alias("r"))
+    assert [r.r for r in reasons.collect()] == [[], ["a", "b"], ["failed"], ["interrupted"]]
+
+
+def test_verdicts(spark):
+    world = {"scene": "mill", "objects": [{"object_type": "house", "id": "a", "position": [1, 1]}]}
+    bad = world | {"relations": [{"relation_type": "near", "source": "a", "target": "a"}]}
+    wants = ({"house": 1}, None, {})
+    rows = [("ok", json.dumps(world), wants), ("free", json.dumps(world), None), ("count", json.dumps(world), ({"tree": 1, "house": 1}, None, None)), ("map", json.dumps(world), (None, (8, 8, "city"), None)), ("few", json.dumps(world), (None, None, {"near": 1})), ("geo", json.dumps(bad), wants), ("json", "{", wants), ("null", None, wants)]
+    frame = spark.createDataFrame(rows, "k string, raw string, e struct<object_counts:map<string,int>,map_spec:struct<width:int,height:int,biome:string>,minimum_relations:map<string,int>>")
+    got = {r.k: (r.status, r.codes) for r in evaluate.verdicts(frame, "raw", "e").collect()}
+    assert got == {"ok": ("valid", []), "free": ("valid", []), "count": ("invalid_expectations", ["object_count"]), "map": ("invalid_expectations", ["map_mismatch"]), "few": ("invalid_expectations", ["relation_count"]), "geo": ("invalid_spatial", ["self_relation"]), "json": ("invalid_schema", ["json_invalid"]), "null": ("invalid_schema", ["json_invalid"])}
+    assert evaluate.rates(evaluate.verdicts(frame.withColumn("v", F.lit(1)), "raw", "e"), "v").first().expectations_rate == 0.125
+
+
+def test_generators(spark):
+    one, two = generate.inventory(spark, 70, 3), generate.inventory(spark, 20, 3)
+    assert one.select("prompt").distinct().count() == 70 and two.join(one, ["id", "prompt"]).count() == 20
+    assert {r.n for r in one.groupBy("theme").agg(F.count("*").alias("n")).collect()} == {10}
+    with pytest.raises(ValueError):
+        generate.inventory(spark, 0, 1)
+    made = generate.tasks(spark, 9, 5)
+    assert made.where("witness IS NOT NULL").count() == 9 and {tuple(r) for r in made.collect()} == {tuple(r) for r in generate.tasks(spark, 9, 5).repartition(3).collect()}
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "x"), (4, "c", "y")], "n int, g string, f string")
+    assert sorted(r.n for r in generate.greedy_distinct(rows, "n", ("g", "f")).collect()) == [1, 4]
+    cases = spark.createDataFrame([("a", "p"), ("b", "q")], "id string, prompt string")
+    backend = lambda prompts, feedback: [p if f is None else p + f for p, f in zip(prompts, feedback)]
+    judge = lambda raws: raws.select("id", (F.col("raw") != "q").alias("passed"), F.lit("!").alias("feedback"))
+    assert sorted(tuple(r) for r in generate.repair_rounds(cases, backend, judge).collect()) == [("a", 1, "p", True), ("b", 1, "q", False), ("b", 2, "q!", True)]
+
+
 def test_ingest_admits_once(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 1), (None, 3)], "id string, v int")

@@ -6,10 +6,10 @@ import oracle
 import pytest
 from conftest import FOLDER
 
-from tessera.plans import curation, generation, nested, spatial
+from tessera.plans import curation, generation, nested, spatial, streams
 
-QUERIES = spatial.QUERIES | curation.QUERIES | nested.QUERIES | generation.QUERIES
-SQL = spatial.SQL | curation.SQL | nested.SQL
+QUERIES = spatial.QUERIES | curation.QUERIES | nested.QUERIES | generation.QUERIES | streams.QUERIES
+SQL = spatial.SQL | curation.SQL | nested.SQL | streams.SQL
 
 
 @pytest.fixture(scope="module")

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import expect, geometry, score, validate
+from tessera.operators import expect, geometry, local, score, validate
 
 OBJECTS = "world long, pos int, id string, kind string, x int, y int, w int, h int"
 RELATIONS = "world long, pos int, relation_type string, source string, target string"
@@ -28,7 +28,10 @@ def board(spark):
 
 
 def codes(spark, things, links):
-    return sorted(r.code for r in validate.issues(boxes(spark, things), edges(spark, links), board(spark)).collect())
+    made = boxes(spark, things), edges(spark, links), board(spark)
+    found = sorted((r.pos, r.code) for r in validate.issues(*made).collect())
+    assert found == sorted((r.pos, r.code) for r in local.issues(local.packed(*made)).collect())
+    return sorted(code for _, code in found)
 
 
 HOUSE, TREE = ("a", "house", 2, 2, 4, 4), ("t", "tree", 12, 12, 1, 1)
