@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.canon import plain, words
+from tessera.runtime import cut
 
 #: The subject given only where no other is.
 FALLBACK = "mapcraft"
@@ -284,7 +285,7 @@ def subjects_of(documents: DataFrame, labels: DataFrame, descriptions: DataFrame
 
 def composition(documents: DataFrame, labels: DataFrame, descriptions: DataFrame) -> DataFrame:
     """(subject, documents, share): the make-up of the corpus; share is of all documents that have a subject."""
-    found = subjects_of(documents, labels, descriptions)
-    total = found.agg(F.count_distinct("doc_id").alias("total"))
+    found = cut(subjects_of(documents, labels, descriptions))
+    total = found.agg(F.count_distinct("doc_id")).first()[0]
     counted = found.groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
-    return counted.crossJoin(total).select("subject", "documents", F.round(F.col("documents") / F.col("total"), 6).alias("share"))
+    return counted.withColumn("share", F.round(F.col("documents") / F.lit(max(1, total)), 6))
