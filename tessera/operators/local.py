@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.domain import NEAR_TILES
-from tessera.operators.geometry import Box, contains, distance, overlaps, same_bounds, shares_edge
+from tessera.operators.geometry import Box, contains, distance, edge_valid, overlaps, same_bounds, shares_edge
 
 #: Parts the two names of a key; no identifier has it.
 BETWEEN = "\x1f"
@@ -100,3 +100,41 @@ def packed(objects: DataFrame, relations: DataFrame, maps: DataFrame) -> DataFra
     things = objects.groupBy("world").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "kind", "x", "y", "r", "b", "layer"))).alias("objects"))
     edges = relations.groupBy("world").agg(F.array_sort(F.collect_list(F.struct("pos", "relation_type", "source", "target"))).alias("relations"))
     return things.join(edges, "world", "full").join(maps, "world", "left")
+
+
+def checks(worlds: DataFrame) -> DataFrame:
+    """worlds with checks, an array of (pos, kind, key, reason): each relation with the first reason why it doesn't pass, null
+    if it does. The same rules as `score.checks`."""
+    objects, edges = F.col("objects"), F.col("_edges")
+    rows = worlds.withColumn("_edges", F.transform("relations", lambda e: _resolved(e, objects)))
+    single = lambda name: F.size(F.filter(objects, lambda o: o["id"] == name)) == 1
+
+    def check(e: Column, i: Column) -> Column:
+        s, t = Box(e["s"]), Box(e["t"])
+        kind = e["kind"]
+        failed = F.when(kind == "near", "not_near").when(kind == "inside", "not_inside").otherwise("not_connected")
+        reason = (
+            F.when(F.exists(F.slice(edges, F.lit(1), i), lambda p: p["key"] == e["key"]), "duplicate_relation")
+            .when(e["source"] == e["target"], "self_relation")
+            .when(~(single(e["source"]) & single(e["target"])), "missing_or_ambiguous_reference")
+            .when(~edge_valid(kind, s, t), failed)
+        )
+        return F.struct(e["pos"].alias("pos"), kind.alias("kind"), e["key"].alias("key"), reason.alias("reason"))
+
+    return rows.withColumn("checks", F.transform(edges, check)).drop("_edges")
+
+
+def slots(worlds: DataFrame) -> DataFrame:
+    """(world, kind, passed, slots) of worlds that also have required, an array of (relation_type, source, target), and
+    minimums, a map from type to number. The same rules as `score.slots`; types come from the minimums."""
+    bare = lambda e: F.struct(F.lit(0).alias("pos"), e["relation_type"].alias("relation_type"), e["source"].alias("source"), e["target"].alias("target"))
+    rows = checks(worlds).withColumn("_wanted", F.array_distinct(F.transform("required", lambda e: _resolved(bare(e), F.array().cast(worlds.schema["objects"].dataType))["key"])))
+    rows = rows.withColumn("_absent", F.array_except("_wanted", F.transform("checks", lambda c: c["key"])))
+
+    def of_kind(kind: Column, minimum: Column) -> Column:
+        mine = F.filter("checks", lambda c: c["kind"] == kind)
+        keys = lambda column: F.size(F.filter(column, lambda k: F.startswith(k, F.concat(kind, F.lit(BETWEEN)))))
+        places = F.greatest(F.size(mine) + keys("_absent"), minimum.cast("int"), keys("_wanted"))
+        return F.struct(kind.alias("kind"), F.size(F.filter(mine, lambda c: c["reason"].isNull())).cast("long").alias("passed"), places.cast("long").alias("slots"))
+
+    return rows.select("world", F.inline(F.transform(F.map_entries("minimums"), lambda e: of_kind(e["key"], e["value"]))))

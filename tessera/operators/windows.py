@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +34,14 @@ def assistant_windows(rows: DataFrame, ids: str, start: str, max_length: Column,
 def padded(column: str, length: Column, fill: int) -> Column:
     """An array filled up to a length."""
     return F.concat(F.col(column), F.array_repeat(F.lit(fill), F.greatest(length - F.size(column), F.lit(0)).cast("int")))
+
+
+def encode_chat(messages: list[dict], template: Callable[[list[dict], bool], list[int]]) -> tuple[list[int], int]:
+    """Token ids of a chat and the place where its answer begins. template(messages, open) gives the ids of messages, with an
+    open answer if asked; the chat with its answer must go on from the ids before it."""
+    if [m.get("role") for m in messages] != ["system", "user", "assistant"]:
+        raise ValueError("a training chat has a system, a user and an assistant turn")
+    before, whole = template(messages[:2], True), template(messages, False)
+    if whole[: len(before)] != before or len(whole) <= len(before):
+        raise ValueError("the template doesn't keep what comes before the answer")
+    return whole, len(before)

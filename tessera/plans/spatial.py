@@ -219,10 +219,14 @@ slots AS (SELECT w.world, w.kind, coalesce(g.passed, 0) AS passed, greatest(coal
 
 
 def _scores(spark: SparkSession, folder: str) -> DataFrame:
-    things = views.objects(spark, folder)
-    edges = views.relations(things)
-    needed = edges.where("pos < 100").select("world", "relation_type", F.col("target").alias("source"), F.col("source").alias("target"))
-    return score.slots(things, edges, needed, _wanted(spark, folder)[1])
+    made = views.worlds(spark, folder)
+    chain = F.filter("relations", lambda e: e["pos"] < 100)
+    needed = F.transform(chain, lambda e: F.struct(e["relation_type"].alias("relation_type"), e["target"].alias("source"), e["source"].alias("target")))
+    minimums = F.create_map(*[x for r in RELATION_TYPES for x in (F.lit(r), 1 + F.col("world") % 2)])
+    # Worlds are those that have a map; without order lines they have no objects.
+    worlds = views.maps(spark, folder).select("world").join(made, "world", "left")
+    none = lambda c: F.coalesce(c, F.array().cast(made.schema[c].dataType))
+    return local.slots(worlds.withColumns({"objects": none("objects"), "relations": none("relations")}).withColumns({"required": needed, "minimums": minimums}))
 
 
 @query("score_slots", WITH + ISSUES_SQL + WANTED_SQL + SCORES_SQL + "SELECT * FROM slots")
@@ -237,11 +241,20 @@ def score_micro(spark: SparkSession, folder: str) -> DataFrame:
     return score.micro(_scores(spark, folder))
 
 
+@query("score_joined_micro", WITH + ISSUES_SQL + WANTED_SQL + SCORES_SQL + "SELECT kind, sum(passed)::BIGINT AS passed, sum(slots)::BIGINT AS slots, round(sum(passed) / nullif(sum(slots), 0), 6) AS accuracy FROM slots GROUP BY 1")
+def score_joined_micro(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by joins over exploded tables."""
+    things = views.objects(spark, folder)
+    edges = views.relations(things)
+    needed = edges.where("pos < 100").select("world", "relation_type", F.col("target").alias("source"), F.col("source").alias("target"))
+    return score.micro(score.slots(things, edges, needed, _wanted(spark, folder)[1]))
+
+
 @query("score_reasons", WITH + ISSUES_SQL + SCORES_SQL.replace("wanted_relations w", "(SELECT world, 'near' AS kind, 0 AS minimum FROM maps) w") + "SELECT relation_type, CASE WHEN repeated THEN 'duplicate_relation' WHEN source = target THEN 'self_relation' WHEN good IS NULL OR (SELECT count(*) FROM id_counts s WHERE s.world = j.world AND s.id IN (j.source, j.target) AND s.n = 1) < 2 THEN 'missing_or_ambiguous_reference' WHEN relation_type = 'near' THEN 'not_near' WHEN relation_type = 'inside' THEN 'not_inside' ELSE 'not_connected' END AS reason, count(*) AS edges FROM judged j WHERE good IS NOT TRUE GROUP BY 1, 2")
 def score_reasons(spark: SparkSession, folder: str) -> DataFrame:
     """Why relations don't pass, by type."""
-    things = views.objects(spark, folder)
-    return score.checks(things, views.relations(things)).where("reason IS NOT NULL").groupBy("relation_type", "reason").agg(F.count(F.lit(1)).alias("edges"))
+    reasons = local.checks(views.worlds(spark, folder)).select(F.inline("checks")).where("reason IS NOT NULL")
+    return reasons.groupBy(F.col("kind").alias("relation_type"), "reason").agg(F.count(F.lit(1)).alias("edges"))
 
 
 @query("stat_object_distribution", WITH + ISSUES_SQL + FLAGS_SQL + ", kinds AS (SELECT unnest(['house','tree','river','road','bridge','monster','castle','ruin','rock','dune','tower','wall','library','portal','npc','crystal','courtyard','vehicle']) AS kind) SELECT k.kind, count(o.world) AS objects FROM kinds k LEFT JOIN (SELECT o.* FROM objects o JOIN flags f ON o.world = f.world WHERE f.valid) o ON k.kind = o.kind GROUP BY 1")

@@ -157,3 +157,19 @@ def merged(low: dict, high: dict) -> dict:
     for key, value in high.items():
         out[key] = merged(out[key], value) if isinstance(out.get(key), dict) and isinstance(value, dict) else value
     return out
+
+
+def load_world(spark: SparkSession, path: str) -> DataFrame:
+    """(json_ok, schema_ok, schema_issues, world, issues): the world in a file, decoded strictly and checked."""
+    from tessera.functions.decode import decoded
+    from tessera.operators import evaluate, local
+
+    rows = decoded(spark.read.option("wholetext", True).text(path), "value").drop("value")
+    return local.with_issues(evaluate.as_rows(rows)).drop("width", "height", "objects", "relations")
+
+
+def save_world(worlds: DataFrame, path: str) -> None:
+    """Worlds as JSON text, defaults written out."""
+    from tessera.functions.decode import canonical
+
+    worlds.where("world IS NOT NULL").select(canonical(F.col("world")).alias("value")).write.text(path)
