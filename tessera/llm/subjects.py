@@ -217,10 +217,11 @@ def gather(model: Model, texts: Iterable[str | None]) -> Counter:
 
 
 def refine(model: Model, labelled: dict[str, np.ndarray], prepared: list[tuple[list[set[str]], set[int]]], names: Iterable[str], table: np.ndarray) -> None:
-    """The model anew from the labelled counts and those of the corpus, table[i] being the classes of names[i]."""
-    counts = {f: v.copy() for f, v in labelled.items()}
-    for f, row in zip(names, table * UNLABELLED_WEIGHT):
-        counts[f] = counts[f] + row if f in counts else row
+    """The model anew from the labelled counts and those of the corpus, table[i] being the classes of names[i]. Features the
+    corpus has too seldom to be named, such as the name of one place, are left out, whatever the labels say of them."""
+    counts = {f: row + labelled[f] if f in labelled else row for f, row in zip(names, table * UNLABELLED_WEIGHT)}
+    if not counts:
+        return
     _fit_odds(model, counts)
     fit_context(model, prepared)
 
