@@ -1,16 +1,19 @@
 """Problem 7: same or near-same records across splits.
 
 Evaluation texts (those listed in val or test) are indexed in shards by a compressed full-text index; all training
-texts are streamed through every shard by backward search, in blocks. The matches of a training text, merged by
-evaluation text, give the candidates; a candidate is a pair if at most a given share of its words differs. Equal
-texts are one class from the start, so copies are neither indexed nor searched twice.
+texts are streamed through every shard by backward search, in blocks. The rare matches of a training text, merged by
+evaluation text, give the first candidates. An exact pass over the rarest words of all texts gives every other: two
+texts of which at most a given share differs have one of those words in common, however many texts have it. A
+candidate is a pair if at most that share of its words differs. Equal texts are one class from the start, so copies
+are neither indexed nor searched twice.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,12 +27,15 @@ from tessera.runtime import cut
 
 #: Largest share of changed, added or dropped words: near copies have up to one in eight, other pairs one in five.
 MOST_CHANGED = 0.16
-#: A match grows until at most so many places of the shard remain; all of them are then candidates.
+#: A match grows until at most so many places of the shard remain; all of them are then candidates. What has more
+#: places is left to the exact pass.
 FEW = 8
 #: Texts of a shard, and of a block of training texts.
 SHARD_TEXTS = 25_000
 BLOCK_TEXTS = 40_000
 SKETCH = 256
+#: Candidates of the exact pass that are held at once; more are verified in more steps.
+HELD = 250_000
 
 
 def _symbols(texts: pd.Series, known: dict[str, int] | None) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
@@ -74,36 +80,96 @@ def changed_words(a: str, b: str) -> int:
     return max(sum(x.values()), sum(y.values())) - same
 
 
+def _bags(texts: pd.Series, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Flat tokens and offsets. A token is a word with the number of its occurrence in the text, so that what two bags of
+    words share is what two sets of tokens share. Tokens are numbered in `known`."""
+    out: list[int] = []
+    offsets = [0]
+    for text in texts:
+        seen: dict[str, int] = {}
+        for w in text.split():
+            n = seen[w] = seen.get(w, 0) + 1
+            out.append(known.setdefault(w if n == 1 else f"{w} {n}", len(known)))
+        offsets.append(len(out))
+    return np.array(out, np.int64), np.array(offsets, np.int64)
+
+
+def _rarest(tokens: np.ndarray, offsets: np.ndarray, rank: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """(text, token) of the tokens of least rank of each text, one more than may differ."""
+    sizes = np.diff(offsets)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((rank[tokens], text))
+    kept = np.arange(len(tokens)) - offsets[text] <= np.floor(share * sizes)[text]
+    return text[kept], tokens[order[kept]]
+
+
+def sharing(etokens: np.ndarray, eoffsets: np.ndarray, ttokens: np.ndarray, toffsets: np.ndarray, count: int, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(training text, evaluation text) of all that are of like size and have one of their rarest tokens in common, in
+    parts of about HELD; a pair comes once for each such token.
+
+    No near pair is left out. It shares all tokens of the larger text but the given share, so each text has at most
+    that share of its own outside; one token more, the rarest first on both sides, can't all be outside."""
+    esizes, tsizes = np.diff(eoffsets), np.diff(toffsets)
+    sizes = np.arange(max(esizes.max(), tsizes.max()) + 1)
+    shared = sizes - np.floor(share * sizes).astype(np.int64)  # what a text of a size and a smaller one have in common
+    rank = np.empty(count, np.int64)
+    rank[np.argsort(np.bincount(etokens, minlength=count), kind="stable")] = np.arange(count)
+    e, token = _rarest(etokens, eoffsets, rank, share)
+    place = token * len(sizes) + esizes[e]
+    order = np.argsort(place, kind="stable")
+    e, place = e[order], place[order]
+    t, token = _rarest(ttokens, toffsets, rank, share)
+    largest = np.searchsorted(shared, tsizes[t], side="right") - 1
+    low = np.searchsorted(place, token * len(sizes) + shared[tsizes[t]])
+    high = np.searchsorted(place, token * len(sizes) + largest, side="right")
+    found = high > low
+    t, low, counts = t[found], low[found], (high - low)[found]
+    # Parts end between texts, so that a pair is in one part only.
+    ends = np.flatnonzero(np.diff(t, append=-1)) + 1
+    part = np.cumsum(counts)[ends - 1] // HELD
+    begin = 0
+    for end in ends[np.flatnonzero(np.diff(part, append=-1))]:
+        k, n = slice(begin, end), counts[begin:end]
+        rows = np.repeat(low[k] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        yield np.repeat(t[k], n), e[rows]
+        begin = end
+
+
 def search(evaluation: pd.DataFrame, training: pd.DataFrame, share: float = MOST_CHANGED, few: int = FEW) -> pd.DataFrame:
-    """(key_t, key_e) of the near pairs between two frames of (key, segs)."""
+    """(key_t, key_e) of the near pairs between two frames of (key, segs): all of them."""
     if not len(evaluation) or not len(training):
         return pd.DataFrame({"key_t": pd.Series(dtype=object), "key_e": pd.Series(dtype=object)})
-    etexts, ttexts = evaluation["segs"].to_numpy(), training["segs"].to_numpy()
     flat, offsets, known = _symbols(evaluation["segs"], None)
     index = FMIndex(flat, offsets)
     queries, qoffsets, _ = _symbols(training["segs"], known)
-    query, low, high, length = maximal_matches(index, queries, qoffsets, few)
+    query, low, high, _ = maximal_matches(index, queries, qoffsets, few)
     rare = high - low <= few
-    # A text none of whose matches is rare is searched by its rarest match, with all its places.
-    bare = np.ones(len(training), bool)
-    bare[query[rare]] = False
-    order = np.argsort(high - low, kind="stable")
-    order = order[bare[query[order]]]
-    first = order[np.unique(query[order], return_index=True)[1]] if len(order) else order
-    taken = np.concatenate((np.flatnonzero(rare), first))
-    counts = (high - low)[taken]
-    rows = np.repeat(low[taken] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-    pairs = np.unique(np.repeat(query[taken], counts) * len(evaluation) + index.text_of(rows))
-    t, e = pairs // len(evaluation), pairs % len(evaluation)
+    query, low, counts = query[rare], low[rare], (high - low)[rare]
+    rows = np.repeat(low - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+    matched = np.repeat(query, counts), index.text_of(rows)
+    del index, flat, queries
+    numbers: dict[str, int] = {}
+    (etokens, eoffsets), (ttokens, toffsets) = _bags(evaluation["segs"], numbers), _bags(training["segs"], numbers)
+    esets, tsets = ([frozenset(x[a:b].tolist()) for a, b in zip(o, o[1:])] for x, o in ((etokens, eoffsets), (ttokens, toffsets)))
     ebits, esizes = _sketch(evaluation["segs"])
     tbits, tsizes = _sketch(training["segs"])
-    most = np.floor(share * np.maximum(tsizes[t], esizes[e])).astype(np.int64)
-    near = np.abs(tsizes[t] - esizes[e]) <= most
-    t, e, most = t[near], e[near], most[near]
-    near = np.bitwise_count(tbits[t] ^ ebits[e]).sum(axis=1) <= 2 * most
-    t, e, most = t[near], e[near], most[near]
-    good = np.array([changed_words(ttexts[i], etexts[j]) <= m for i, j, m in zip(t, e, most)], bool)
-    return pd.DataFrame({"key_t": training["k"].to_numpy()[t[good]], "key_e": evaluation["k"].to_numpy()[e[good]]})
+    good: list[np.ndarray] = []
+    for t, e in chain([matched], sharing(etokens, eoffsets, ttokens, toffsets, len(numbers), share)):
+        most = np.floor(share * np.maximum(tsizes[t], esizes[e])).astype(np.int64)
+        flips = np.zeros(len(t), np.int64)
+        for k in range(SKETCH // 64):
+            flips += np.bitwise_count(tbits[t, k] ^ ebits[e, k])
+            if k % 2:
+                near = flips <= 2 * most
+                t, e, most, flips = t[near], e[near], most[near], flips[near]
+        near = np.abs(tsizes[t] - esizes[e]) <= most
+        pairs, first = np.unique(t[near] * len(evaluation) + e[near], return_index=True)
+        t, e = pairs // len(evaluation), pairs % len(evaluation)
+        least = np.maximum(tsizes[t], esizes[e]) - most[near][first]
+        shared = np.fromiter((len(tsets[i] & esets[j]) for i, j in zip(t.tolist(), e.tolist())), np.int64, len(pairs))
+        good.append(pairs[shared >= least])
+    pairs = np.unique(np.concatenate(good))
+    return pd.DataFrame({"key_t": training["k"].to_numpy()[pairs // len(evaluation)], "key_e": evaluation["k"].to_numpy()[pairs % len(evaluation)]})
 
 
 def _search(share: float, few: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:

@@ -84,6 +84,38 @@ def test_near_pairs_against_brute_force():
     assert got <= want and len(got) >= 0.98 * len(want) > 40
 
 
+def test_near_pairs_of_large_families():
+    """Many variants of one text: what they have in common stands in far more places than a match is followed to."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(40)]
+
+    def variant():
+        made = list(base)
+        for i in rng.sample(range(40), 2):
+            made[i] = f"n{rng.randrange(10**9)}"
+        return "\n".join(" ".join(made[i : i + 10]) for i in range(0, 40, 10))
+
+    evaluation = pd.DataFrame({"k": [f"e{i}" for i in range(80)], "segs": [variant() for _ in range(80)]})
+    training = pd.DataFrame({"k": [f"t{i}" for i in range(60)], "segs": [variant() for _ in range(60)]})
+    got = list(overlap.search(evaluation, training).itertuples(index=False, name=None))
+    assert sorted(got) == sorted((t, e) for t in training["k"] for e in evaluation["k"])
+
+
+def test_no_near_pair_is_missed(monkeypatch):
+    """Repeated words, texts of one word and lengths at the very limit, against all pairs; with few candidates held too."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 26))) for _ in range(400)]
+    evaluation = pd.DataFrame({"k": [f"e{i}" for i in range(200)], "segs": texts[:200]})
+    training = pd.DataFrame({"k": [f"t{i}" for i in range(200)], "segs": texts[200:]})
+    allowed = lambda a, b: int(np.floor(overlap.MOST_CHANGED * max(len(a.split()), len(b.split()))))
+    want = {(t.k, e.k) for t in training.itertuples() for e in evaluation.itertuples() if overlap.changed_words(t.segs, e.segs) <= allowed(t.segs, e.segs)}
+    assert len(want) > 100
+    for held in (overlap.HELD, 7):
+        monkeypatch.setattr(overlap, "HELD", held)
+        got = list(overlap.search(evaluation, training).itertuples(index=False, name=None))
+        assert set(got) == want and len(got) == len(want)
+
+
 def test_cut_points_hold_their_limits():
     rng = random.Random(4)
     for _ in range(60):
