@@ -3,13 +3,14 @@
 A complement naive Bayes model of sentences is trained from labelled documents and refined by expectation-maximization:
 the subject of a sentence is hidden, in a labelled document one of its labels or none, in an unlabelled one any or none.
 Each subject has a posterior of its own, calibrated by the words around the telling ones: they show whether a sentence
-treats a subject or only mentions it, compares with it or quotes it. A document has the subjects that enough of its
-sentences treat.
+treats a subject or only mentions it, compares with it or quotes it. A sentence counts for every subject whose posterior
+passes. A document has the subjects that enough of its sentences treat.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
@@ -41,6 +42,11 @@ LEAST_PURITY = 0.5
 LEAST_ODDS = 2.0
 #: Words whose log odds for some subject reach this are telling; the others around them are context.
 TELLING = 1.5
+#: What the general rate of a context word weighs against its rate with one subject, in sentences.
+POOLED_WEIGHT = 30.0
+#: Least log odds of a further subject of a sentence; more where labels show chance hits of that subject. One telling
+#: word that belongs to something else is not enough.
+LEAST_FURTHER = 6.0
 
 _SENTENCE = re.compile(r"(?<=[.!?。！？…])[\"'”’»)\]*_]*\s+|[\r\n]+")
 
@@ -60,13 +66,19 @@ def features(found: list[str]) -> set[str]:
 
 @dataclass
 class Model:
-    """odds[f]: log odds of a feature for each subject against all else. context[w]: log odds that a sentence with the
-    word among its context treats its subject."""
+    """odds[f]: log odds of a feature for each subject against all else. context[w]: log odds, for each subject, that a
+    sentence with the word among its context treats the subject; prior: the same of any sentence. further: the log odds
+    that a subject needs in a sentence which another subject explains better."""
 
     subjects: list[str]
     odds: dict[str, np.ndarray] = field(default_factory=dict)
-    context: dict[str, float] = field(default_factory=dict)
-    prior: float = 0.0
+    context: dict[str, np.ndarray] = field(default_factory=dict)
+    prior: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    further: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+    def __post_init__(self) -> None:
+        if not len(self.prior):
+            self.prior, self.further = np.zeros(len(self.subjects)), np.full(len(self.subjects), LEAST_FURTHER)
 
     def scores(self, found: set[str]) -> np.ndarray:
         """Log odds of a sentence for each subject."""
@@ -74,20 +86,38 @@ class Model:
         rows = [v for f in found if (v := look(f)) is not None]
         return np.sum(rows, axis=0) if rows else np.zeros(len(self.subjects))
 
-    def treats(self, found: set[str]) -> float:
-        """Log odds that a sentence treats the subject it is of, by its context."""
+    def treats(self, found: set[str]) -> np.ndarray:
+        """Log odds that a sentence treats each subject, provided that it is of it, by its context."""
         look = self.context.get
-        return self.prior + sum(v for f in found if (v := look(f)) is not None)
+        rows = [v for f in found if (v := look(f)) is not None]
+        return self.prior + np.sum(rows, axis=0) if rows else self.prior
+
+    def evidence(self, found: set[str]) -> list[tuple[int, float]]:
+        """(subject, log odds) of the subjects a sentence is of, the best first. A further one has the features that no
+        better one explains: a word of several subjects speaks for the best of them."""
+        look = self.odds.get
+        rows = [v for f in found if (v := look(f)) is not None]
+        if not rows:
+            return []
+        table = np.array(rows)
+        out: list[tuple[int, float]] = []
+        while len(table):
+            scores = table.sum(axis=0)
+            best = int(np.argmax(scores))
+            if scores[best] < LEAST_ODDS:
+                break
+            out.append((best, float(scores[best])))
+            table = table[table[:, best] <= 0]
+        return out
 
     def count(self, sentences: Iterable[list[str]]) -> Counter:
-        """Sentences that treat each subject. A sentence is of the subject with the best odds; a second one counts too
-        where its odds come near."""
+        """Sentences that treat each subject: all whose own posterior passes."""
         out: Counter = Counter()
         for found in map(features, sentences):
-            scores = self.scores(found)
-            best = int(np.argmax(scores))
-            if scores[best] >= LEAST_ODDS and self.treats(found) > 0:
-                out[best] += 1
+            own = self.evidence(found)
+            if own:
+                treats = self.treats(found)
+                out.update(c for i, (c, odds) in enumerate(own) if treats[c] > 0 and (not i or odds >= self.further[c]))
         return out
 
     def classify(self, text: str | None) -> list[str]:
@@ -121,36 +151,61 @@ def _assign(model: Model, found: set[str], allowed: list[int]) -> int:
 
 
 def fit_context(model: Model, documents: list[tuple[list[set[str]], set[int]]]) -> None:
-    """How far each context word speaks for treating: in sentences of subject c, whether the document has the label c."""
-    yes: Counter = Counter()
-    no: Counter = Counter()
-    n = [0.0, 0.0]
+    """How far each context word speaks for treating: in sentences of subject c, whether the document has the label c.
+    Each subject has odds of its own; where it has few sentences they are drawn towards those of all subjects."""
+    k = len(model.subjects)
+    yes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(k))
+    no: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(k))
+    n = np.zeros((2, k))
     strong: dict[str, bool] = {}
+    others: list[tuple[set[str], int, float, bool]] = []
     for sentences, labels in documents:
         for found in sentences:
-            scores = model.scores(found)
-            best = int(np.argmax(scores))
-            if scores[best] < LEAST_ODDS:
-                continue
-            treated = best in labels
-            n[treated] += 1
-            for f in found:
-                if f not in strong:
-                    strong[f] = f in model.odds and model.odds[f].max() >= TELLING
-                if not strong[f]:
-                    (yes if treated else no)[f] += 1
-    model.prior = float(np.log((n[1] + 1) / (n[0] + 1)))
-    total = n[0] + n[1]
-    rate = (n[1] + 1) / (total + 2)
+            own = model.evidence(found)
+            others += [(found, c, odds, c in labels) for c, odds in own[1:]]
+            for best, _ in own[:1]:
+                treated = best in labels
+                n[int(treated), best] += 1
+                for f in found:
+                    if f not in strong:
+                        strong[f] = f in model.odds and model.odds[f].max() >= TELLING
+                    if not strong[f]:
+                        (yes if treated else no)[f][best] += 1
+    total = n.sum()
+    rate = (n[1].sum() + 1) / (total + 2)
+    rates = (n[1] + POOLED_WEIGHT * rate) / (n.sum(axis=0) + POOLED_WEIGHT)
+    odds = lambda p: np.log(p / (1 - p))
+    model.prior = odds(rates)
     model.context = {}
+    none = np.zeros(k)
     for f in yes.keys() | no.keys():
-        a, b = yes[f], no[f]
-        if a + b >= max(4, total * 5e-4):
+        a, b = yes.get(f, none), no.get(f, none)
+        every = a.sum() + b.sum()
+        if every >= max(4, total * 5e-4):
             # Smoothed towards the general rate; features of one template go together, so each counts for less than its odds.
-            p = (a + 2 * rate) / (a + b + 2)
-            odds = float(np.log(p / (1 - p)) - np.log(rate / (1 - rate)))
-            if abs(odds) > 0.5:
-                model.context[f] = odds * 0.5
+            p = (a.sum() + 2 * rate) / (every + 2)
+            # The general odds of the word, moved to the subject's own rate, are what its sentences are held against.
+            expected = 1 / (1 + np.exp(-(model.prior + odds(p) - odds(rate))))
+            told = odds((a + POOLED_WEIGHT * expected) / (a + b + POOLED_WEIGHT)) - model.prior
+            if (abs(told) > 0.5).any():
+                model.context[f] = np.where(abs(told) > 0.5, told * 0.5, 0.0)
+    _fit_further(model, others)
+
+
+def _fit_further(model: Model, others: list[tuple[set[str], int, float, bool]]) -> None:
+    """What a further subject needs, for each subject: the least odds from which no more labelled sentences lack the
+    label than have it below."""
+    model.further = np.full(len(model.subjects), LEAST_FURTHER)
+    hits: dict[int, list[tuple[float, bool]]] = defaultdict(list)
+    for found, c, odds, treated in others:
+        if odds >= LEAST_FURTHER and model.treats(found)[c] > 0:
+            hits[c].append((odds, treated))
+    for c, seen in hits.items():
+        chance = sorted(odds for odds, treated in seen if not treated)
+        true = sorted(odds for odds, treated in seen if treated)
+        for i, level in enumerate(chance):
+            if len(chance) - i > bisect_right(true, level):
+                model.further[c] = np.nextafter(level, np.inf)
 
 
 def fit(rows: Iterable[tuple[str | None, Iterable[str]]], descriptions: dict[str, str]) -> tuple[Model, list[tuple[list[set[str]], set[int]]], dict[str, np.ndarray]]:
@@ -198,7 +253,7 @@ def gather(model: Model, texts: Iterable[str | None]) -> Counter:
     for text in texts:
         sentences = [features(w) for w in sentence_words(text)]
         scores = [model.scores(f) for f in sentences]
-        treating = [model.treats(f) > 0 for f in sentences]
+        treating = [model.treats(f)[int(np.argmax(x))] > 0 for f, x in zip(sentences, scores)]
         seen = {int(np.argmax(x)) for x, t in zip(scores, treating) if t and x.max() >= LEAST_ODDS}
         pairs: set[tuple[str, int]] = set()
         for found, score, treats in zip(sentences, scores, treating):

@@ -230,3 +230,27 @@ def test_subjects_on_held_out_labels():
     found = {k: set(model.classify(texts[k])) for k in test}
     assert np.mean([found[k] == labels[k] for k in test]) > 0.9
     assert model.classify(None) == model.classify("") == model.classify(" \n") == []
+
+
+def two_subjects():
+    law = ["The tribunal gave its verdict before the statute was read.", "The plaintiff asked the tribunal for a verdict.", "A statute bound the plaintiff and the tribunal."]
+    music = ["The choir sang a melody with one violin.", "A violin played the melody for the choir.", "The choir knew the melody and the rhythm."]
+    court = ["The court of the tribunal heard the plaintiff.", "The choir sang in the court to a violin."]
+    rows = [(" ".join([*side, also]), {name}) for name, side, also in (("law", law, court[0]), ("music", music, court[1])) for _ in range(30)]
+    return subjects.fit(rows, {"law": "tribunal, verdict", "music": "melody, choir", "mapcraft": "tiles"})[0]
+
+
+def test_a_sentence_may_treat_two_subjects():
+    model = two_subjects()
+    assert model.classify("The tribunal gave its verdict and the choir sang a melody. " * 3) == ["law", "music"]
+    assert model.classify("The tribunal gave its verdict and the choir sang a melody. " * 2) == ["mapcraft"]
+    assert model.classify("The court of the tribunal heard the plaintiff. " * 3) == ["law"]
+
+
+def test_each_subject_has_its_own_calibration():
+    """A word that marks a passing mention of one subject says nothing against the other."""
+    model = subjects.Model(["law", "music"], {"tribunal": np.array([5.0, 0.0]), "melody": np.array([0.0, 5.0])})
+    seen = [("tribunal", "again", {0}, 100), ("tribunal", "today", {0}, 40), ("melody", "again", set(), 60), ("melody", "today", {1}, 60)]
+    subjects.fit_context(model, [([{a, b}], labels) for a, b, labels, n in seen for _ in range(n)])
+    assert model.count([["tribunal", "again"]] * 3) == {0: 3} and model.count([["melody", "today"]]) == {1: 1}
+    assert model.count([["melody", "again"]]) == {}
