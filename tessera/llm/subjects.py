@@ -31,7 +31,8 @@ LEAST_SENTENCES = 3
 LABELLED_DOCUMENTS = 6_000
 #: Rounds of expectation-maximization over the labelled sample, and over all documents.
 LABELLED_ROUNDS, CORPUS_ROUNDS = 4, 1
-#: Share of documents a word must be in to be kept from the corpus rounds: it bounds the model, as a document has few words.
+#: Share of documents in which a word must teach something to be kept from the corpus rounds, unless LEAST_DOCUMENTS
+#: labelled ones or a description speak for it: it bounds the model, as a document has few words.
 LEAST_DOCUMENT_SHARE, LEAST_DOCUMENTS = 2e-4, 3
 #: Weight of a sentence of an unlabelled document against one of a labelled document.
 UNLABELLED_WEIGHT = 0.5
@@ -272,8 +273,8 @@ def gather(model: Model, texts: Iterable[str | None]) -> Counter:
 
 
 def refine(model: Model, labelled: dict[str, np.ndarray], prepared: list[tuple[list[set[str]], set[int]]], names: Iterable[str], table: np.ndarray) -> None:
-    """The model anew from the labelled counts and those of the corpus, table[i] being the classes of names[i]. Features the
-    corpus has too seldom to be named, such as the name of one place, are left out, whatever the labels say of them."""
+    """The model anew from the labelled counts and those of the corpus, table[i] being the classes of names[i]. Features that
+    are not named, such as the name of one place, are left out."""
     counts = {f: row + labelled[f] if f in labelled else row for f, row in zip(names, table * UNLABELLED_WEIGHT)}
     if not counts:
         return
@@ -281,6 +282,12 @@ def refine(model: Model, labelled: dict[str, np.ndarray], prepared: list[tuple[l
     fit_context(model, prepared)
 
 
+def supported(labelled: dict[str, np.ndarray], descriptions: dict[str, str]) -> list[str]:
+    """The features that labelled documents or a subject's description support, however rare they are in the corpus."""
+    described = {w for name, about in descriptions.items() if name != FALLBACK for w in words(plain(f"{name} {about}"))}
+    return [f for f, row in labelled.items() if f in described or row.sum() >= LEAST_DOCUMENTS]
+
+
 def _gather(text: str, shared: object) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
@@ -312,11 +319,13 @@ def train(documents: DataFrame, labels: DataFrame, descriptions: DataFrame, key:
     model, prepared, labelled = fit(rows, about)
     k = len(model.subjects)
     total = documents.count() if CORPUS_ROUNDS else 0
+    known = F.broadcast(spark.createDataFrame([(f,) for f in supported(labelled, about)], "f string").withColumn("known", F.lit(True)))
     for _ in range(CORPUS_ROUNDS):
         shared = spark.sparkContext.broadcast(model)
         gathered = documents.select(text).where(F.col(text).isNotNull()).mapInPandas(_gather(text, shared), "f string, c int, n long")
         summed = gathered.groupBy("f").agg(*[F.sum(F.when(F.col("c") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in range(k + 1)], F.sum("n").alias("n"))
-        kept = summed.where(F.col("n") >= max(LEAST_DOCUMENTS, LEAST_DOCUMENT_SHARE * total)).drop("n").toPandas()
+        often = F.col("n") >= max(LEAST_DOCUMENTS, LEAST_DOCUMENT_SHARE * total)
+        kept = summed.join(known, "f", "left").where(often | F.col("known")).drop("n", "known").toPandas()
         refine(model, labelled, prepared, kept["f"], kept.iloc[:, 1:].to_numpy(float))
     return model
 

@@ -172,6 +172,17 @@ def test_subjects_of_odd_tables(spark):
     subjects.subjects_of(documents, labels.limit(0), about).count()
 
 
+def test_rare_subject_keeps_its_words(spark, monkeypatch):
+    """The words of a subject stand in fewer documents than the share asks for, but labels speak for them."""
+    monkeypatch.setattr(subjects, "LEAST_DOCUMENT_SHARE", 0.3)
+    about = spark.createDataFrame([("law", "courts"), ("music", "songs"), ("mapcraft", "tiles")], "subject string, description string")
+    law, music = "The tribunal gave its verdict here. ", "They sang a melody in the hall. "
+    documents = frame(spark, [(i, (law if i < 20 else music) * 4, None) for i in range(200)], DOCUMENTS)
+    labels = spark.createDataFrame([(i, "law" if i < 20 else "music") for i in range(10, 60)], "doc_id long, subject string")
+    got = {(r.doc_id, r.subject) for r in subjects.subjects_of(documents, labels, about).collect()}
+    assert got == {(i, "law" if i < 20 else "music") for i in range(200)}
+
+
 @pytest.fixture(scope="module")
 def connection():
     return oracle.views(FOLDER)
