@@ -1,15 +1,21 @@
 """A compressed full-text index over word sequences, searched backwards for many texts at once.
 
-The index keeps the Burrows–Wheeler transform of the concatenated texts as one sorted array of (symbol, row) codes,
-so that one step of backward search for a whole batch is two binary searches, and the suffix array to locate matches.
+The index is a compressed suffix array. For each row of the sorted suffixes it keeps the row of the suffix one symbol
+later; within the rows of one symbol these grow, so they are stored as gaps, packed by byte planes. The same numbers,
+read as (symbol, row) codes, make one step of backward search for a whole batch two binary searches. The rows of every
+SAMPLED-th position are kept, from which the texts and the places of all rows are unfolded: the index holds its texts.
 """
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 
 #: Symbol between two texts of the index; never part of a query.
 PART = 0
+#: Positions from one kept row to the next.
+SAMPLED = 64
 
 
 class FMIndex:
@@ -17,16 +23,54 @@ class FMIndex:
 
     def __init__(self, flat: np.ndarray, offsets: np.ndarray) -> None:
         count = len(offsets) - 1
-        lengths = np.diff(offsets)
         self.n = n = len(flat) + count + 1
         sequence = np.zeros(n, np.int64)
-        place = np.arange(len(flat)) + np.repeat(np.arange(count), lengths)
-        sequence[place] = flat
+        sequence[np.arange(len(flat)) + np.repeat(np.arange(count), np.diff(offsets))] = flat
         self.starts = offsets[:-1] + np.arange(count)
-        self.rows = suffix_array(sequence)
-        before = sequence[self.rows - 1]
-        self.codes = np.sort(before * (n + 1) + np.arange(n))
+        rows = suffix_array(sequence)
         self.width = n + 1
+        codes = sequence[rows - 1] * self.width + np.arange(n)
+        at = np.empty(n, np.int64)
+        at[rows] = np.arange(n)
+        # The suffix of the last symbol is the least; behind it the texts begin again.
+        codes[at[0]] = -1
+        self.codes = np.sort(codes)
+        self.codes[0] = at[0]
+        self.samples = at[::SAMPLED]
+        self._unfold()
+
+    def _unfold(self) -> None:
+        """The symbols in their order and the text of each row, walked from all samples at once."""
+        self.sequence = np.zeros(self.n, np.int32)
+        self.texts = np.zeros(self.n, np.int32)
+        rows, at = self.samples, np.arange(len(self.samples)) * SAMPLED
+        text = np.searchsorted(self.starts, np.arange(self.n), side="right") - 1
+        for _ in range(min(SAMPLED, self.n)):
+            symbol, follows = np.divmod(self.codes[rows], self.width)
+            self.sequence[at], self.texts[rows] = symbol, text[at]
+            at, rows = at + 1, follows
+            inside = at < self.n
+            rows, at = rows[inside], at[inside]
+
+    def to_bytes(self) -> bytes:
+        """The index in its compressed form: gaps by byte planes, samples and where texts begin."""
+        planes = np.diff(self.codes, prepend=0).astype("<u8").view(np.uint8).reshape(-1, 8).T
+        out = io.BytesIO()
+        np.savez_compressed(out, planes=np.ascontiguousarray(planes), samples=self.samples.astype(np.uint32), starts=np.diff(self.starts, prepend=0).astype(np.uint32))
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> FMIndex:
+        """The index that to_bytes() gave."""
+        made = cls.__new__(cls)
+        with np.load(io.BytesIO(data)) as parts:
+            planes = np.ascontiguousarray(parts["planes"].T).view("<u8").ravel()
+            made.codes = np.cumsum(planes.astype(np.int64))
+            made.samples, made.starts = parts["samples"].astype(np.int64), np.cumsum(parts["starts"].astype(np.int64))
+        made.n = len(made.codes)
+        made.width = made.n + 1
+        made._unfold()
+        return made
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows of the matches [low, high) extended by a symbol on the left; an empty range if there are none."""
@@ -35,7 +79,7 @@ class FMIndex:
 
     def text_of(self, rows: np.ndarray) -> np.ndarray:
         """The number of the text in which the suffix of each row begins."""
-        return np.searchsorted(self.starts, self.rows[rows], side="right") - 1
+        return self.texts[rows]
 
 
 def suffix_array(sequence: np.ndarray) -> np.ndarray:
@@ -56,41 +100,24 @@ def suffix_array(sequence: np.ndarray) -> np.ndarray:
         reach *= 2
 
 
-def maximal_matches(index: FMIndex, flat: np.ndarray, offsets: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Parts each query text, from its end backwards, into matches of the index.
-
-    flat holds the symbols of the queries; values below 1 (a segment's end, an unknown word) belong to no match. A match
-    grows leftwards until at most `few` places remain, or it can't grow. Returns (query, low, high, length) of each."""
-    count = len(offsets) - 1
-    at = offsets[1:] - 1
-    query = np.arange(count)
-    keep = at >= offsets[:-1]
-    query, at = query[keep], at[keep]
-    low, high, length = np.zeros(len(at), np.int64), np.full(len(at), index.n, np.int64), np.zeros(len(at), np.int64)
-    out: list[tuple[np.ndarray, ...]] = []
-
-    def close(which: np.ndarray) -> None:
-        which = which & (length > 0)
-        if which.any():
-            out.append((query[which], low[which], high[which], length[which]))
+def pieces(index: FMIndex, flat: np.ndarray, offsets: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts each query, from its end backwards, into pieces that stand in the index at no more than so many places.
 
+    flat holds the symbols of the queries; a value below 0 is a word the index doesn't have. A match grows to the left
+    until its places are few or, with places = 0, until it is maximal: the word that ends it is the piece's last and
+    the piece stands nowhere. What is left at the beginning of a query is a piece too, with all places it has.
+    Returns (query, low, high)."""
+    query = np.flatnonzero(np.diff(offsets) > 0)
+    at, first = offsets[query + 1] - 1, offsets[query]
+    low, high = np.zeros(len(at), np.int64), np.full(len(at), index.n, np.int64)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]
     while len(query):
         symbol = flat[at]
-        new_low, new_high = index.step(np.maximum(symbol, PART), low, high)
-        grows = (symbol > PART) & (new_low < new_high)
-        close(~grows)
-        again = ~grows & (length > 0) & (symbol > PART)
-        low, high = np.where(grows, new_low, 0), np.where(grows, new_high, index.n)
-        length = np.where(grows, length + 1, 0)
-        done = grows & (high - low <= few)
-        close(done)
-        low, high, length = np.where(done, 0, low), np.where(done, index.n, high), np.where(done, 0, length)
-        at = at - np.where(again, 0, 1)
-        ended = at < offsets[query]
-        close(ended & ~again)
-        stay = ~ended
-        query, at, low, high, length = query[stay], at[stay], low[stay], high[stay], length[stay]
-    if not out:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
+        low, high = index.step(np.maximum(symbol, PART), low, high)
+        high = np.where(symbol < 0, low, high)
+        done = (high - low <= places) | (at == first)
+        out.append((query[done], low[done], high[done]))
+        low, high = np.where(done, 0, low), np.where(done, index.n, high)
+        stay = at > first
+        query, at, first, low, high = query[stay], at[stay] - 1, first[stay], low[stay], high[stay]
     return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]

@@ -70,6 +70,21 @@ def test_duplicates(spark):
     assert dedup.copies(empty).count() == dedup.distinct_texts(empty).count() == 0
 
 
+def test_cross_split_in_small_parts(spark, monkeypatch):
+    """Many shards and blocks, classes parted into blocks of few ids: the same pairs."""
+    monkeypatch.setattr(overlap, "SHARD_SYMBOLS", 150)
+    monkeypatch.setattr(overlap, "BLOCK_CHARS", 50)
+    monkeypatch.setattr(overlap, "TOGETHER", 3)
+    base = [f"place {i} lies by the river and has {i * 7 % 11} towers of stone with {i * 3} windows each" for i in range(11)]
+    prompts = [(f"{i:03d}", base[i % 11] + (" today" if i % 5 == 0 else ""), "s") for i in range(120)]
+    members = [(f"{i:03d}", "x", "train" if i % 2 else "test") for i in range(120)]
+    got = {(r.id_a, r.id_b) for r in overlap.cross_split(frame(spark, prompts, PROMPTS), frame(spark, members, MEMBERS)).collect()}
+    words = [p[1] for p in prompts]
+    want = {(prompts[i][0], prompts[j][0]) for i in range(120) for j in range(i) if i % 2 != j % 2 and overlap.changed_words(words[i], words[j]) <= int(overlap.MOST_CHANGED * max(len(words[i].split()), len(words[j].split())))}
+    want = {(min(p), max(p)) for p in want}
+    assert (len(got - want), len(want - got), len(got) > 250) == (0, 0, True)
+
+
 def test_cross_split(spark):
     text = "One river runs past the mill. Two goats stand near the wall at noon. The gate is open and the road leads to the old library of Tarn."
     near = "Two goats stand near the wall today. One river runs past the mill. The gate is open and the road leads to the old library of Tarn."
@@ -78,7 +93,9 @@ def test_cross_split(spark):
     members = frame(spark, [("a", None, "train"), ("b", "x", " VAL"), ("c", "x", "test"), ("d", "x", "test"), ("e", "x", "test"), ("f", "x", None), ("g", "x", "train"), ("g", "x", "test"), ("zz", "x", "test"), (None, None, "test"), ("b", "x", "val")], MEMBERS)
     got = {(r.id_a, r.id_b) for r in overlap.cross_split(prompts, members).collect()}
     assert got == {("a", "b"), ("a", "c"), ("a", "g"), ("b", "g"), ("c", "g")}
-    assert {(r.split, r.same, r.pairs) for r in overlap.report(prompts, members).collect()} >= {("val", True, 2)}
+    report = {(r.split, r.source, r.same): (r.pairs, r.ids) for r in overlap.report(prompts, members).collect()}
+    assert report == {("val", "s", True): (2, 1), ("test", "s", True): (1, 1), ("test", None, False): (2, 1)}
+    assert {(r.id, r.same, r.near) for r in overlap.links_of_ids(prompts, members).collect()} == {("b", 2, 0), ("c", 0, 2), ("g", 1, 0), ("d", 0, 0)}
     assert overlap.cross_split(prompts.limit(0), members).count() == overlap.cross_split(prompts, members.limit(0)).count() == 0
 
 
