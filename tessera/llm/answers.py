@@ -1,7 +1,7 @@
 """How an answer ends and what it is: the parsing shared by problems 2 and 4.
 
-An answer is read by a pushdown parser over fences, quotations and brackets; what is not markup is read as a list or
-as prose. The verdict on the ending is one of `whole`, `cut` and `open`; `open` means prose that stops without a mark
+An answer is read by a pushdown parser over objects, fences, elements, quotations, brackets and emphasis; what is not
+markup is read as a list or as prose. The verdict on the ending is one of `whole`, `cut` and `open`; `open` means prose that stops without a mark
 of its end and may still be a complete repetition of a question that has none either.
 """
 
@@ -14,6 +14,7 @@ from functools import lru_cache
 
 from tessera.llm.canon import plain, segments, words
 from tessera.llm.language import QUOTED, clear_language, main_language, sentences
+from tessera.llm.markup import stops_within
 from tessera.llm.tiling import tiles
 
 #: Marks that storage or transfer puts after a cut (fixed values).
@@ -103,11 +104,8 @@ def ending(text: str) -> tuple[str, str]:
     if start and (start.start() == 0 or fence and fence.end() <= body.find(inner[start.start()]) + 1 or re.match(r"[{\[]\s*[\"'{\[\]}]", inner[start.start() : start.start() + 40])):
         markup = inner[start.start() :].rstrip()
         kind = "world" if re.search(r"[\"']objects[\"']\s*:\s*\[\s*\{|[\"'](?:schema_version|relation_type|object_type)[\"']", markup) else "object"
-        try:
-            json.loads(markup)
+        if decoded(markup) is not None:
             return kind, "whole"
-        except ValueError:
-            pass
         state, stop = brackets_open(markup)
         if state:
             return kind, "cut"
@@ -117,6 +115,11 @@ def ending(text: str) -> tuple[str, str]:
             return ending(rest) if kind == "object" and len(words(rest)) > 5 else (kind, "whole")
     if "\ufffd" in body[-2:]:
         return "prose", "cut"
+    # A fence behind a cut may have been added with the mark; the one that was there before counts.
+    in_block, in_line = stops_within(body if marked else text.strip())
+    if in_block or in_line:
+        bulleted = [bool(BULLET.match(s)) for s in body.splitlines() if s.strip()]
+        return "list" if any(bulleted) and 2 * sum(bulleted) >= len(bulleted) - 1 else "prose", "cut" if in_block else "open"
     lines = [s for s in body.splitlines() if s.strip()]
     if not lines:
         return "prose", "cut" if marked else "whole"
@@ -146,21 +149,31 @@ def ending(text: str) -> tuple[str, str]:
     return kind, "open"
 
 
+@lru_cache(maxsize=8)
+def decoded(text: str) -> tuple[object] | None:
+    """The JSON value that a text is, or that follows its blanks, in a tuple; None if it is none. Kept for the few texts
+    in hand, which several questions are asked about."""
+    try:
+        return (json.loads(text),)
+    except (ValueError, RecursionError):
+        return None
+
+
+#: A number or a truth value: whatever holds one isn't hollow.
+_VALUE = re.compile(r"[:,\[]\s*(?:-?\d|true|false)")
+
+
 def is_empty(text: str | None) -> bool:
-    """Null, blank, or nothing but an empty container, a fence or a placeholder."""
+    """Null, blank, or nothing but an empty container, a fence or a placeholder, however long."""
     if text is None:
         return True
-    if len(text) > 400 and len(text.strip()) > 400 and re.search(r"\w", text[:400]):
-        return False
-    body = re.sub(r"```[\w-]*", "", text).strip().strip("\u200b\ufeff").strip()
+    body = re.sub(r"```[\w-]*", "", text) if "```" in text else text
+    body = body.strip().strip("\u200b\ufeff").strip()
     if not body or body.lower() in PLACEHOLDERS or not re.search(r"\w", body):
         return len(body) <= 12 or not body.strip("`'\"{}[]()<>.,:;-–—_*#~… \n\t")
-    if body[0] in "{[\"" and len(body) < 400:
-        try:
-            value = json.loads(body)
-        except ValueError:
-            return False
-        return _hollow(value)
+    if body[0] in "{[\"" and not _VALUE.search(body):
+        value = decoded(body)
+        return value is not None and _hollow(value[0])
     return False
 
 
@@ -192,22 +205,57 @@ REFUSAL = re.compile(
     re.I,
 )
 #: What every sentence of the grammar has in it; a text without any of these needs no parsing (fixed values).
-REFUSAL_HINTS = ("n't", "n’t", "cannot", "not able", "not allowed", "not permitted", "can not", "could not", "will not", "do not", "unable", "decline", "refuse", "rather not", "have to say", "request", "wish", "outside of what", "outside what", " ich ", "ich lehne", "ich kann", "ich darf", "ich werde", "ich muss", "ich möchte", "je ne", "je dois", "je refuse", "je préfère", "no puedo", "no debo", "no voy", "no me es", "rechazar", "negarme", "declinar", "prefiero", "niego", "non posso", "rifiutare", "nie mogę", "odmówić", "не могу", "отказать", "不能", "无法", "抱歉")
+REFUSAL_HINTS = (" thing", "something", "je me vois", "me veo", "n't", "n’t", "cannot", "not able", "not allowed", "not permitted", "can not", "could not", "will not", "do not", "unable", "decline", "refuse", "rather not", "have to say", "request", "wish", "outside of what", "outside what", " ich ", "ich lehne", "ich kann", "ich darf", "ich werde", "ich muss", "ich möchte", "je ne", "je dois", "je refuse", "je préfère", "no puedo", "no debo", "no voy", "no me es", "rechazar", "negarme", "declinar", "prefiero", "niego", "non posso", "rifiutare", "nie mogę", "odmówić", "не могу", "отказать", "不能", "无法", "抱歉")
 REFUSED_ERROR = re.compile(r"declin|refus|reject\w* by policy|policy|safety|content filter|blocked by|moderat|not permitted|forbidden content", re.I)
-REFUSED_FIELD = re.compile(r"[\"'](?:error|status|reason|message|refusal|detail)[\"']\s*:\s*[\"'][^\"']*(?:cannot|can't|unable|refus|declin|policy|not allowed|denied|reject)", re.I)
+REFUSED_VALUE = re.compile(r"cannot|can't|can’t|unable|refus|declin|policy|not allowed|denied|reject", re.I)
+#: Members that say what became of a wish.
+OUTCOMES = ("error", "status", "reason", "message", "refusal", "detail")
+REFUSED_FIELD = re.compile(rf"[\"'](?:{'|'.join(OUTCOMES)})[\"']\s*:\s*[\"'][^\"']*(?:{REFUSED_VALUE.pattern})", re.I)
+_OBJECT = re.compile(r"\{\s*[\"'}]|\[\s*[\[{\"'\]]")
+_WORLD = re.compile(r"[\"']objects[\"']\s*:\s*\[\s*\{")
+
+
+def _refused(value: object) -> bool:
+    """Whether an object has an outcome that is a refusal, at any depth."""
+    if isinstance(value, dict):
+        return any(k in OUTCOMES and isinstance(v, str) and REFUSED_VALUE.search(v) or _refused(v) for k, v in value.items())
+    return isinstance(value, list) and any(map(_refused, value))
+
+
+def outside_objects(text: str) -> tuple[str, list[str]]:
+    """The text without its objects and lists in JSON or a like notation, and those."""
+    whole = text.strip()
+    if whole[:1] in "{[" and decoded(whole):
+        return "", [whole]
+    rest, found, at = [], [], 0
+    for m in _OBJECT.finditer(text):
+        if m.start() < at:
+            continue
+        try:
+            end = json.JSONDecoder().raw_decode(text, m.start())[1]
+        except (ValueError, RecursionError):
+            state, stop = brackets_open(text[m.start() :])
+            end = len(text) if state else m.start() + stop
+        rest.append(text[at : m.start()])
+        found.append(text[m.start() : end])
+        at = end
+    return " ".join([*rest, text[at:]]), found
 
 
 def is_refusal(text: str | None, error: str | None) -> bool:
-    """Whether the answer, outside of quotations, or the error says that the wish won't be met."""
+    """Whether the answer, outside of objects and quotations, or an outcome in an object that is no world, or the error
+    says that the wish won't be met."""
     if error and REFUSED_ERROR.search(error):
         return True
     if not text or not text.strip():
         return False
-    brace = text.find("{")
-    if brace >= 0 and len(text) < 600 and REFUSED_FIELD.search(text) and '"objects": [{' not in text:
-        return True
-    if 0 <= brace <= 120:
-        text = text[:brace]
+    if "{" in text or "[" in text:
+        text, objects = outside_objects(text)
+        for part in objects:
+            if not _WORLD.search(part) and REFUSED_VALUE.search(part):
+                value = decoded(part)
+                if _refused(value[0]) if value else REFUSED_FIELD.search(part):
+                    return True
     low = text.lower()
     if not any(hint in low for hint in REFUSAL_HINTS):
         return False

@@ -17,8 +17,6 @@ _UNSEEN = [chr(c) for c in [*range(0xFE00, 0xFE10), 0x034F, 0x115F, 0x1160, 0x31
 INVISIBLE = re.compile("[" + re.escape("".join(sorted(set(_UNSEEN)))) + "]")
 SENTENCE_END = re.compile(r"[.!?。！？]+(?=\s|$|[*_\"'”»)])")
 FIELD = re.compile(r"^\W*([^\W\d_]+)[\s\"'*_`]*[:=]\s*(.*)$", re.S)
-#: A text is in field notation if it has at least so many named fields.
-LEAST_FIELDS = 3
 
 
 def plain(text: str) -> str:
@@ -51,8 +49,9 @@ def _pairs(items: list[tuple[str, object]]) -> dict:
 
 def fields(text: str) -> list[tuple[str, list[str]]] | None:
     """The (name, words) fields of a plain text in field notation, sorted; None for other texts.
-    Notations: a JSON object; `name: value` parted by bars, semicolons or line ends (a line without a name goes on
-    with the value before it)."""
+    Notations: a JSON object; `name: value` parted by bars or semicolons, each part with a name; or by line ends, most
+    lines and the first with a name (a line without one goes on with the value before it). One field alone has no
+    order to lose: it is read as a sentence, in every notation."""
     body = text.strip()
     if body[:1] == "{":
         try:
@@ -60,15 +59,16 @@ def fields(text: str) -> list[tuple[str, list[str]]] | None:
         except ValueError:
             whole = None
         if isinstance(whole, dict) and whole:
-            return sorted((" ".join(words(k)), words(v)) for k, v in _leaves("", whole))
+            leaves = sorted((" ".join(words(k)), words(v)) for k, v in _leaves("", whole))
+            return leaves if len(leaves) > 1 else None
     for mark in "|;":
-        if body.count(mark) >= LEAST_FIELDS - 1:
+        if mark in body:
             parts = [FIELD.match(p) for p in body.split(mark) if WORD.search(p)]
-            if len(parts) >= LEAST_FIELDS and all(parts):
+            if len(parts) > 1 and all(parts):
                 return sorted((m[1], words(m[2])) for m in parts)
     lines = [p for p in re.split(r"[\r\n]+", body) if WORD.search(p)]
     named = [FIELD.match(p) for p in lines]
-    if sum(map(bool, named)) >= LEAST_FIELDS and named[0] and 2 * sum(map(bool, named)) > len(lines):
+    if sum(map(bool, named)) > 1 and named[0] and 2 * sum(map(bool, named)) > len(lines):
         found: list[tuple[str, list[str]]] = []
         for line, m in zip(lines, named):
             if m:

@@ -26,6 +26,13 @@ from tessera.llm.fmindex import FMIndex, pieces as index_pieces
         ("site: Tarn; map: 3 by 4; mood: dark", '{"mood": "DARK", "site": "tarn", "map": "3 by 4"}', True),
         ("site: Tarn\nmood: dark\nmap: 3 by 4", "map = 3 by 4 | site = Tarn | mood = dark", True),
         ("site: Tarn; map: 3 by 4; mood: dark", "site: dark; map: 3 by 4; mood: Tarn", False),
+        ("name: Ann; color: red", "color: red; name: Ann", True),
+        ("name: Ann; color: red", "color = red | name = Ann", True),
+        ("name: Ann\ncolor: red", '{"color": "red", "name": "Ann"}', True),
+        ("name: Ann; color: red", "name: red; color: Ann", False),
+        ("name: Ann", '{"name": "Ann"}', True),
+        ("name: Ann", "Name - Ann!", True),
+        ("The mill; the pond", "The pond; the mill", False),
         ("We need Tarn: one mill. Weather: rain.", "Weather: rain. We need Tarn: one mill.", False),
         ("Straße", "STRASSE", True),
         ("été", "été", True),
