@@ -119,7 +119,9 @@ def ending(text: str) -> tuple[str, str]:
     in_block, in_line = stops_within(body if marked else text.strip())
     if in_block or in_line:
         bulleted = [bool(BULLET.match(s)) for s in body.splitlines() if s.strip()]
-        return "list" if any(bulleted) and 2 * sum(bulleted) >= len(bulleted) - 1 else "prose", "cut" if in_block else "open"
+        if any(bulleted) and 2 * sum(bulleted) >= len(bulleted) - 1:
+            return "list", "cut"
+        return "prose", "cut" if in_block else "open"
     lines = [s for s in body.splitlines() if s.strip()]
     if not lines:
         return "prose", "cut" if marked else "whole"

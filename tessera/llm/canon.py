@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,7 +15,10 @@ from pyspark.sql import types as T
 WORD = re.compile(r"[^\W_]+")
 #: Format characters, variation selectors and blank fillers: they show nothing and part nothing.
 _UNSEEN = [chr(c) for c in [*range(0xFE00, 0xFE10), 0x034F, 0x115F, 0x1160, 0x3164, 0xFFA0, *range(0xE0200)] if c in (0x034F, 0x115F, 0x1160, 0x3164, 0xFFA0) or 0xFE00 <= c < 0xFE10 or unicodedata.category(chr(c)) == "Cf"]
-INVISIBLE = re.compile("[" + re.escape("".join(sorted(set(_UNSEEN)))) + "]")
+INVISIBLE = frozenset(_UNSEEN)
+_WITHOUT = dict.fromkeys(map(ord, _UNSEEN))
+#: What parts the words of an ASCII text.
+_BLANKED = {i: " " for i in range(128) if not chr(i).isalnum()}
 SENTENCE_END = re.compile(r"[.!?。！？]+(?=\s|$|[*_\"'”»)])")
 FIELD = re.compile(r"^\W*([^\W\d_]+)[\s\"'*_`]*[:=]\s*(.*)$", re.S)
 
@@ -23,12 +27,15 @@ def plain(text: str) -> str:
     """Compatibility form without invisible characters, case folded."""
     if text.isascii():
         return text.lower()
-    return unicodedata.normalize("NFKC", INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).casefold())
+    text = unicodedata.normalize("NFKC", text)
+    if not INVISIBLE.isdisjoint(text):
+        text = text.translate(_WITHOUT)
+    return unicodedata.normalize("NFKC", text.casefold())
 
 
 def words(text: str) -> list[str]:
     """Runs of letters and digits of a text that is already plain."""
-    return WORD.findall(text)
+    return text.translate(_BLANKED).split() if text.isascii() else WORD.findall(text)
 
 
 def _leaves(name: str, value: object) -> list[tuple[str, str]]:
@@ -92,7 +99,7 @@ def forms(text: str | None) -> tuple[str | None, list[list[str]]]:
     if named is not None:
         return "\x1e" + "\x1e".join(f"{name}\x1f{' '.join(value)}" for name, value in named), [[*words(name), *value] for name, value in named]
     found = [w for s in SENTENCE_END.split(low) if (w := words(s))]
-    return " ".join(words(low)) or None, found
+    return " ".join(chain.from_iterable(found)) or None, found
 
 
 def canonical(text: str | None) -> str | None:
