@@ -309,6 +309,12 @@ def ends_with_question(answer: str, question: str) -> bool:
     return any(a[-1] == p[-1] and a[-2:-1] == p[-2:-1] for p in segments(question) if len(p) > 1) or a[-1] == q[-1]
 
 
+def repeats_last_words(answer: str, question: str) -> bool:
+    """Whether an answer ends with the last two words of the question."""
+    a, q = words(plain(strip_marks(answer.strip())[0])), _question(question)[0]
+    return a[-2:] == q[-2:]
+
+
 #: Names of languages in requests such as `answer in German` (fixed values).
 LANGUAGE_NAMES = {
     "en": "english englisch englischer anglais inglés inglese angielsku", "de": "german deutsch deutscher allemand alemán tedesco niemiecku", "fr": "french französisch französischer français francés francese francusku",

@@ -2,18 +2,21 @@
 
 The length of every answer is recomputed under the encodings a store may count in (characters, bytes, escaped forms,
 converted line ends) and grouped: a length at which a source's answers pile up and beyond which it has none is a hidden
-limit. The endings of the answers are then inspected; the limit an answer lies at names the cause of its cut.
+limit. The endings of the answers are then inspected together with the limits they lie at: a clear ending decides by
+itself, one that may be the whole of a repeated question or a part of it is a cut where the answer lies at a limit. The
+limit also names the cause.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.answers import ending, ends_with_question, is_empty
+from tessera.llm.answers import ending, ends_with_question, is_empty, repeats_last_words
 from tessera.llm.defects import questions
 from tessera.runtime import join_unique
 
@@ -53,47 +56,61 @@ def hidden_limits(predictions: DataFrame) -> DataFrame:
     return top.where((F.col("at_limit") >= LEAST_COUNT) & (F.col("at_limit") >= LEAST_SHARE * F.col("answers")))
 
 
+#: The names of lengths(), in its order.
+MEASURES = ("characters", "utf8_bytes", "utf16_units", "html_escaped", "json_escaped", "crlf")
+
+
 def _inspect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Cut answers, and with their text those that a question must decide."""
+    """Cut answers, and with their text those that a question and the limits must decide."""
     for frame in frames:
         out = []
-        for key, name, source, model, text, size, octets in zip(*(frame[c] for c in ("prediction_key", "id", "source", "model", "raw_response", "characters", "utf8_bytes"))):
+        for i, text in enumerate(frame["raw_response"]):
             if is_empty(text):
                 continue
             kind, verdict = ending(text)
             if verdict != "whole":
-                out.append((key, name, source, model, kind, size, octets, text if verdict == "open" else None))
-        yield pd.DataFrame(out, columns=["prediction_key", "id", "source", "model", "kind", "characters", "utf8_bytes", "text"])
+                out.append((i, kind, text if verdict == "open" else None))
+        kept = [i for i, _, _ in out]
+        made = {c: frame[c].to_numpy(object)[kept] for c in frame.columns if c != "raw_response"}
+        yield pd.DataFrame(made | {"kind": [k for _, k, _ in out], "text": [t for _, _, t in out]})
 
 
 def _decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        keep = [not (isinstance(t, str) and isinstance(q, str) and ends_with_question(t, q)) for t, q in zip(frame["text"], frame["question"])]
-        yield frame.loc[keep, ["prediction_key", "source", "model", "kind", "characters", "utf8_bytes"]]
+        keep = [is_cut(t, q, bool(at)) for t, q, at in zip(frame["text"], frame["question"], frame["at_limit"])]
+        yield frame.loc[keep, ["prediction_key", "source", "kind", "cause"]]
+
+
+def is_cut(text: object, question: object, at_limit: bool) -> bool:
+    """Whether an answer that isn't whole by itself is cut. Without text its ending has decided. A repetition of a question
+    that has no end mark is whole; one that breaks off at a limit with words of the question still to come is not."""
+    if not isinstance(text, str) or not isinstance(question, str) or not ends_with_question(text, question):
+        return True
+    return at_limit and not repeats_last_words(text, question)
 
 
 def cut_answers(predictions: DataFrame, providers: DataFrame, messages: DataFrame, suite: DataFrame) -> DataFrame:
     """(prediction_key, source, kind, cause): answers that end inside a word, a sentence, a list item or an object.
-    cause is `model` at the model's max_tokens, `source` at a hidden limit of the source, else `transfer`. Whole answers
-    of any length are left out, and so are empty ones and repetitions of a question that has no end mark either.
-    A row delivered twice is one answer; null keys have no row."""
-    measures = lengths(F.col("raw_response"))
+    cause is `model` at the model's max_tokens, `source` at a hidden limit of the source under any measure, else
+    `transfer`. Whole answers of any length are left out, and so are empty ones and repetitions of a question that has no
+    end mark either, unless they lie at a limit before its end. A row delivered twice is one answer; null keys have no row."""
+    measures = [v.cast("long").alias(k) for k, v in lengths(F.col("raw_response")).items()]
     rows = predictions.where("prediction_key IS NOT NULL AND raw_response IS NOT NULL")
-    rows = rows.select("prediction_key", "id", "source", "model", "raw_response", measures["characters"].cast("long").alias("characters"), measures["utf8_bytes"].cast("long").alias("utf8_bytes"))
+    rows = rows.select("prediction_key", "id", "source", "model", "raw_response", *measures)
     key = predictions.schema["prediction_key"].dataType.simpleString()
-    columns = f"prediction_key {key}, source string, model string, kind string, characters long, utf8_bytes long"
-    seen = rows.mapInPandas(_inspect, f"prediction_key {key}, id string, source string, model string, kind string, characters long, utf8_bytes long, text string")
+    columns = ", ".join(f"{m} long" for m in MEASURES)
+    seen = rows.mapInPandas(_inspect, f"prediction_key {key}, id string, source string, model string, {columns}, kind string, text string")
+    # Limits have a row for each source, models one for each model; the planner checks their size.
+    limits = hidden_limits(predictions).groupBy("source").agg(*[F.max(F.when(F.col("measure") == m, F.col("limit"))).alias(f"limit_{m}") for m in MEASURES])
+    models = providers.where("model IS NOT NULL").groupBy("model").agg(F.max("max_tokens").alias("max_tokens"))
+    seen = seen.join(limits, "source", "left").join(models, "model", "left")
+    # A torn character leaves up to three bytes of a limit in bytes unused.
+    at_source = reduce(Column.__or__, [F.col(m).between(F.col(f"limit_{m}") - (3 if m == "utf8_bytes" else 0), F.col(f"limit_{m}")) for m in MEASURES])
+    cause = F.when(F.col("characters") >= F.col("max_tokens") * TOKEN_CHARS, "model").when(at_source, "source").otherwise("transfer")
+    seen = seen.select("prediction_key", "id", "source", "kind", cause.alias("cause"), "text").withColumn("at_limit", F.col("cause") != "transfer")
     seen = seen.withColumn("id", F.when(F.col("text").isNotNull() & F.col("id").isNotNull(), F.col("id")).otherwise(F.concat(F.lit("\x00"), "prediction_key")))
     joined = join_unique(seen, questions(messages, suite), "id", predictions.count(), "left", counted=predictions.select("id"))
-    cut = joined.mapInPandas(_decide, columns).dropDuplicates(["prediction_key"])
-    # Limits have a row for each source and measure at most, models one for each model; the planner checks their size.
-    limits = hidden_limits(predictions).groupBy("source").agg(F.max(F.when(F.col("measure") == "characters", F.col("limit"))).alias("by_chars"), F.max(F.when(F.col("measure") == "utf8_bytes", F.col("limit"))).alias("by_bytes"))
-    models = providers.where("model IS NOT NULL").groupBy("model").agg(F.max("max_tokens").alias("max_tokens"))
-    with_limits = cut.join(limits, "source", "left").join(models, "model", "left")
-    at_model = F.col("characters") >= F.col("max_tokens") * TOKEN_CHARS
-    at_source = (F.col("characters") == F.col("by_chars")) | F.col("utf8_bytes").between(F.col("by_bytes") - 3, F.col("by_bytes"))
-    cause = F.when(at_model, "model").when(at_source, "source").otherwise("transfer")
-    return with_limits.select("prediction_key", "source", "kind", cause.alias("cause"))
+    return joined.mapInPandas(_decide, f"prediction_key {key}, source string, kind string, cause string").dropDuplicates(["prediction_key"])
 
 
 def by_source(predictions: DataFrame, providers: DataFrame, messages: DataFrame, suite: DataFrame) -> DataFrame:

@@ -136,6 +136,26 @@ def test_truncation(spark):
     assert truncation.cut_answers(empty, providers, messages, suite).count() == truncation.hidden_limits(empty).count() == 0
 
 
+def test_limit_decides(spark):
+    """A repetition of a question without end mark that misses its last field: whole, unless it lies at its source's limit."""
+    fields = [f"{n}: {n[::-1]} {i} of the old town, with three trees by the long wall" for i, n in enumerate(("site", "mood", "material", "weather"))]
+    asked = "\n".join([*fields, "map: small"])
+    answer = "\n".join(fields)
+    at, over = [("s", answer)] * 4, ("t", answer + " " * 3)
+    rows = [(i, "q", source, None, text, None) for i, (source, text) in enumerate([*at, over, *[("t", "Whole sentences of this source are longer than the limit of the other one, by far, and they do end. " * 4)] * 5])]
+    rows += [(100 + i, None, "s", None, f"Answer {i} is short.", None) for i in range(5)]
+    predictions = frame(spark, rows, PREDICTIONS)
+    messages = frame(spark, [(1, "q", 1, "user", asked, None)], MESSAGES)
+    providers = spark.createDataFrame([], "provider string, model string, max_tokens int")
+    suite = frame(spark, [], SUITE)
+    got = truncation.cut_answers(predictions, providers, messages, suite)
+    assert sorted((r.prediction_key, r.cause) for r in got.collect()) == [(i, "source") for i in range(4)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "html_escaped" in plan and "Generate" in plan and "max_tokens" in plan
+    whole = frame(spark, [(i, "q", "s", None, asked, None) for i in range(4)], PREDICTIONS)
+    assert truncation.cut_answers(whole, providers, messages, suite).count() == 0
+
+
 SETTINGS = "profile string, max_seq_length int, overlap_tokens int, is_default boolean"
 
 
