@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,13 +73,13 @@ def _inspect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out.append((i, kind, text if verdict == "open" else None))
         kept = [i for i, _, _ in out]
         made = {c: frame[c].to_numpy(object)[kept] for c in frame.columns if c != "raw_response"}
-        yield pd.DataFrame(made | {"kind": [k for _, k, _ in out], "text": [t for _, _, t in out]})
+        yield pd.DataFrame(made | {"kind": [k for _, k, _ in out], "text": [t for _, _, t in out]}, dtype=object)
 
 
 def _decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        keep = [is_cut(t, q, bool(at)) for t, q, at in zip(frame["text"], frame["question"], frame["at_limit"])]
-        yield frame.loc[keep, ["prediction_key", "source", "kind", "cause"]]
+        keep = np.array([is_cut(t, q, bool(at)) for t, q, at in zip(frame["text"], frame["question"], frame["at_limit"])], bool)
+        yield pd.DataFrame({c: frame[c].to_numpy(object)[keep] for c in ("prediction_key", "source", "kind", "cause")})
 
 
 def is_cut(text: object, question: object, at_limit: bool) -> bool:
