@@ -19,61 +19,65 @@ from pyspark.sql import functions as F
 
 from tessera.llm.answers import ending, ends_with_question, is_empty, repeats_last_words
 from tessera.llm.defects import questions
-from tessera.runtime import join_unique
+from tessera.runtime import cut, join_unique
 
 #: A limit is exposed where at least this share of a source's answers, and this many, have the greatest length.
 LEAST_SHARE, LEAST_COUNT = 0.03, 3
 TOKEN_CHARS = 4
 
 
-def _more(text: Column, mark: str, extra: int) -> Column:
-    """Characters that escaping every `mark` adds to a text."""
-    return (F.char_length(text) - F.char_length(F.replace(text, F.lit(mark), F.lit("")))) * extra
+#: What stores may count in, in the order of lengths().
+MEASURES = ("characters", "utf8_bytes", "utf16_units", "html_escaped", "json_escaped", "crlf")
 
 
-def lengths(text: Column) -> dict[str, Column]:
+def lengths(text: str) -> tuple[int, ...]:
     """The length of a text as stores count it; a replacement character at the end, left of a torn one, is left out."""
-    text = F.regexp_replace(text, "\ufffd+$", "")
-    chars = F.char_length(text)
-    lines = _more(text, "\n", 1)
-    html = _more(text, "&", 4) + _more(text, "<", 3) + _more(text, ">", 3) + _more(text, '"', 5)
-    return {
-        "characters": chars,
-        "utf8_bytes": F.octet_length(text),
-        "utf16_units": chars + F.char_length(text) - F.char_length(F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]", "")),
-        "html_escaped": chars + html,
-        "json_escaped": chars + lines + _more(text, '"', 1) + _more(text, "\\", 1) + _more(text, "\t", 1) + _more(text, "\r", 1),
-        "crlf": chars + lines - _more(text, "\r\n", 1) / 2,
-    }
+    text = text.rstrip("\ufffd")
+    chars = len(text)
+    octets = chars if text.isascii() else len(text.encode("utf-8", "replace"))
+    units = chars if octets == chars else len(text.encode("utf-16-le", "replace")) // 2
+    lines, quotes = text.count("\n"), text.count('"')
+    html = 4 * text.count("&") + 3 * (text.count("<") + text.count(">")) + 5 * quotes
+    json = lines + quotes + text.count("\\") + text.count("\t") + text.count("\r")
+    return chars, octets, units, chars + html, chars + json, chars + lines - (text.count("\r\n") if "\r" in text else 0)
+
+
+def _measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield pd.DataFrame({"source": frame["source"].to_numpy(object)} | dict(zip(MEASURES, np.array([lengths(t) for t in frame["raw_response"]], np.int64).reshape(-1, len(MEASURES)).T)))
+
+
+_COLUMNS = ", ".join(f"{m} long" for m in MEASURES)
 
 
 def hidden_limits(predictions: DataFrame) -> DataFrame:
     """(source, measure, limit, at_limit, answers): the greatest length of each source's answers under each measure, where
     answers pile up at it. Null answers and sources take no part."""
-    texts = predictions.where("raw_response IS NOT NULL AND source IS NOT NULL")
-    measured = F.array(*[F.struct(F.lit(k).alias("measure"), v.cast("long").alias("length")) for k, v in lengths(F.col("raw_response")).items()])
-    each = texts.select("source", F.inline(measured)).groupBy("source", "measure", "length").agg(F.count(F.lit(1)).alias("n"))
-    top = each.groupBy("source", "measure").agg(F.max("length").alias("limit"), F.max_by("n", "length").alias("at_limit"), F.sum("n").alias("answers"))
-    return top.where((F.col("at_limit") >= LEAST_COUNT) & (F.col("at_limit") >= LEAST_SHARE * F.col("answers")))
+    texts = predictions.where("raw_response IS NOT NULL AND source IS NOT NULL").select("source", "raw_response")
+    return limits_of(texts.mapInPandas(_measure, f"source string, {_COLUMNS}"))
 
 
-#: The names of lengths(), in its order.
-MEASURES = ("characters", "utf8_bytes", "utf16_units", "html_escaped", "json_escaped", "crlf")
+def limits_of(measured: DataFrame) -> DataFrame:
+    """hidden_limits() of a table that has the lengths as columns."""
+    measures = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in MEASURES])
+    each = measured.where("source IS NOT NULL").select("source", F.inline(measures)).groupBy("source", "measure", "length").agg(F.count(F.lit(1)).alias("n"))
+    top = each.groupBy("source", "measure").agg(F.max("length").alias("limit"), F.max_by("n", "length").alias("at_limit"), F.sum("n").alias("answers"))
+    return top.where((F.col("at_limit") >= LEAST_COUNT) & (F.col("at_limit") >= LEAST_SHARE * F.col("answers")))
 
 
 def _inspect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Cut answers, and with their text those that a question and the limits must decide."""
+    """The lengths of all answers; with the kind of those that may be cut, and the text where a question and the limits must
+    decide."""
     for frame in frames:
-        out = []
-        for i, text in enumerate(frame["raw_response"]):
-            if is_empty(text):
-                continue
-            kind, verdict = ending(text)
-            if verdict != "whole":
-                out.append((i, kind, text if verdict == "open" else None))
-        kept = [i for i, _, _ in out]
-        made = {c: frame[c].to_numpy(object)[kept] for c in frame.columns if c != "raw_response"}
-        yield pd.DataFrame(made | {"kind": [k for _, k, _ in out], "text": [t for _, _, t in out]}, dtype=object)
+        sizes, kinds, texts = [], [], []
+        for text in frame["raw_response"]:
+            kind, verdict = (None, "whole") if is_empty(text) else ending(text)
+            sizes.append(lengths(text))
+            kinds.append(None if verdict == "whole" else kind)
+            texts.append(text if verdict == "open" else None)
+        made = {c: frame[c].to_numpy(object) for c in ("prediction_key", "id", "source", "model")}
+        made |= dict(zip(MEASURES, np.array(sizes, np.int64).reshape(-1, len(MEASURES)).T))
+        yield pd.DataFrame(made | {"kind": np.array(kinds, object), "text": np.array(texts, object)})
 
 
 def _decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,14 +99,13 @@ def cut_answers(predictions: DataFrame, providers: DataFrame, messages: DataFram
     cause is `model` at the model's max_tokens, `source` at a hidden limit of the source under any measure, else
     `transfer`. Whole answers of any length are left out, and so are empty ones and repetitions of a question that has no
     end mark either, unless they lie at a limit before its end. A row delivered twice is one answer; null keys have no row."""
-    measures = [v.cast("long").alias(k) for k, v in lengths(F.col("raw_response")).items()]
-    rows = predictions.where("prediction_key IS NOT NULL AND raw_response IS NOT NULL")
-    rows = rows.select("prediction_key", "id", "source", "model", "raw_response", *measures)
+    rows = predictions.where("prediction_key IS NOT NULL AND raw_response IS NOT NULL").select("prediction_key", "id", "source", "model", "raw_response")
     key = predictions.schema["prediction_key"].dataType.simpleString()
-    columns = ", ".join(f"{m} long" for m in MEASURES)
-    seen = rows.mapInPandas(_inspect, f"prediction_key {key}, id string, source string, model string, {columns}, kind string, text string")
+    # Answers are read once: limits need the lengths of all before any can be judged.
+    every = cut(rows.mapInPandas(_inspect, f"prediction_key {key}, id string, source string, model string, {_COLUMNS}, kind string, text string"))
+    seen = every.where("kind IS NOT NULL")
     # Limits have a row for each source, models one for each model; the planner checks their size.
-    limits = hidden_limits(predictions).groupBy("source").agg(*[F.max(F.when(F.col("measure") == m, F.col("limit"))).alias(f"limit_{m}") for m in MEASURES])
+    limits = limits_of(every).groupBy("source").agg(*[F.max(F.when(F.col("measure") == m, F.col("limit"))).alias(f"limit_{m}") for m in MEASURES])
     models = providers.where("model IS NOT NULL").groupBy("model").agg(F.max("max_tokens").alias("max_tokens"))
     seen = seen.join(limits, "source", "left").join(models, "model", "left")
     # A torn character leaves up to three bytes of a limit in bytes unused.
@@ -110,7 +113,7 @@ def cut_answers(predictions: DataFrame, providers: DataFrame, messages: DataFram
     cause = F.when(F.col("characters") >= F.col("max_tokens") * TOKEN_CHARS, "model").when(at_source, "source").otherwise("transfer")
     seen = seen.select("prediction_key", "id", "source", "kind", cause.alias("cause"), "text").withColumn("at_limit", F.col("cause") != "transfer")
     seen = seen.withColumn("id", F.when(F.col("text").isNotNull() & F.col("id").isNotNull(), F.col("id")).otherwise(F.concat(F.lit("\x00"), "prediction_key")))
-    joined = join_unique(seen, questions(messages, suite), "id", predictions.count(), "left", counted=predictions.select("id"))
+    joined = join_unique(seen, questions(messages, suite), "id", every.count(), "left", counted=every.where("text IS NOT NULL").select("id"))
     return joined.mapInPandas(_decide, f"prediction_key {key}, source string, kind string, cause string").dropDuplicates(["prediction_key"])
 
 
