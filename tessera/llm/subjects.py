@@ -1,17 +1,19 @@
 """Problem 10: subject areas of documents.
 
-A complement naive Bayes model of sentences is trained from labelled documents and refined by expectation-maximization:
-the subject of a sentence is hidden, in a labelled document one of its labels or none, in an unlabelled one any or none.
-Each subject has a posterior of its own, calibrated by the words around the telling ones: they show whether a sentence
-treats a subject or only mentions it, compares with it or quotes it. A sentence counts for every subject whose posterior
-passes. A document has the subjects that enough of its sentences treat.
+Texts are turned once into numbers of their words by sentences. A complement naive Bayes model of sentences is trained from
+labelled documents: a feature speaks for a subject as far as it is missing from all that is not of the subject. It is
+refined by expectation-maximization with soft assignments: the subject of a sentence is hidden, in a labelled document
+one of its labels or none, in an unlabelled one any or none, and each document has shares of subjects of its own. Rounds go
+on until the assignments settle. Whether a sentence treats a subject or only mentions it, compares with it or quotes it,
+is told by the words around the telling ones; that posterior is calibrated for each subject on labelled sentences that
+it was not learned from. A sentence counts for every subject whose posterior passes; a document has the subjects that
+enough of its sentences treat.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from collections import Counter, defaultdict
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -23,329 +25,498 @@ from pyspark.sql import functions as F
 from tessera.llm.canon import plain, words
 from tessera.runtime import cut
 
-#: The subject given only where no other is.
-FALLBACK = "mapcraft"
 #: Sentences that must treat a subject.
 LEAST_SENTENCES = 3
 #: The model is fitted on at most so many labelled documents, those of the smallest hashes; everything else covers all.
 LABELLED_DOCUMENTS = 6_000
-#: Rounds of expectation-maximization over the labelled sample, and over all documents.
-LABELLED_ROUNDS, CORPUS_ROUNDS = 4, 1
-#: Share of documents in which a word must teach something to be kept from the corpus rounds, unless LEAST_DOCUMENTS
-#: labelled ones or a description speak for it: it bounds the model, as a document has few words.
+#: Most rounds over the labelled sample and over the corpus; they end before when the mean change of the assignments
+#: falls below SETTLED.
+LABELLED_ROUNDS, CORPUS_ROUNDS, SETTLED = 20, 3, 0.01
+#: Share of documents in which a feature that no labelled document has must teach something to be kept: it bounds the
+#: model, as a document has few words. What labelled documents and descriptions have is kept, however rare.
 LEAST_DOCUMENT_SHARE, LEAST_DOCUMENTS = 2e-4, 3
-#: Weight of a sentence of an unlabelled document against one of a labelled document.
+#: Weight of an unlabelled document against a labelled one.
 UNLABELLED_WEIGHT = 0.5
-SMOOTHING = 1.0
-#: Least share of a feature's documents that must have the subject for the feature to tell it.
-LEAST_PURITY = 0.5
-#: Log odds from which a sentence is of a subject at all.
-LEAST_ODDS = 2.0
-#: Words whose log odds for some subject reach this are telling; the others around them are context.
+SMOOTHING = 0.5
+#: Least weight of a feature for a subject; below it is what all texts of a language share.
+LEAST_WEIGHT = 0.4
+#: Score from which a sentence is of a subject at all.
+LEAST_SCORE = 2.0
+#: Features with this weight for some subject are telling; the others around them are context.
 TELLING = 1.5
-#: What the general rate of a context word weighs against its rate with one subject, in sentences.
+#: What the general rate of a context word weighs against its rate with one subject, in sentences; and what the general
+#: calibration weighs against that of one subject.
 POOLED_WEIGHT = 30.0
-#: Least log odds of a further subject of a sentence; more where labels show chance hits of that subject. One telling
-#: word that belongs to something else is not enough.
-LEAST_FURTHER = 6.0
+#: Least score of a further subject of a sentence; more where labels show chance hits of that subject.
+LEAST_FURTHER = 4.0
+#: Documents that are scored at once.
+CHUNK = 1_000
 
 _SENTENCE = re.compile(r"(?<=[.!?。！？…])[\"'”’»)\]*_]*\s+|[\r\n]+")
+_NUMBERS: dict[str, int] = {}
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
 
 
-def sentence_words(text: str | None) -> list[list[str]]:
-    """The words of each sentence or line of a text."""
-    if not text:
-        return []
-    return [w for s in _SENTENCE.split(plain(text)) if (w := words(s))]
+def _number(word: str) -> int:
+    """A number of 32 bits for a word, the same everywhere; 0 is kept for the ends of sentences."""
+    if len(_NUMBERS) > 1_000_000:
+        _NUMBERS.clear()
+    made = _NUMBERS[word] = zlib.crc32(word.encode("utf-8", "replace")) or 1
+    return made
 
 
-def features(found: list[str]) -> set[str]:
-    """Words and pairs of neighbours, numbers aside."""
-    kept = [w for w in found if not w.isdigit()]
-    return {*kept, *(f"{a} {b}" for a, b in zip(kept, kept[1:]))}
+def sentence_numbers(text: str | None) -> bytes:
+    """The words of a text as numbers of four bytes, a zero behind each sentence or line; numbers in the text are left out."""
+    out: list[int] = []
+    look = _NUMBERS.get
+    for s in _SENTENCE.split(plain(text)) if text else ():
+        found = [look(w) or _number(w) for w in words(s) if not w.isdigit()]
+        if found:
+            out += found
+            out.append(0)
+    return np.array(out, "<u4").tobytes()
+
+
+@dataclass
+class Texts:
+    """Features of a batch of texts, by sentence: single words and pairs of neighbours."""
+
+    keys: np.ndarray
+    sentence: np.ndarray
+    document: np.ndarray  # of each sentence
+    count: int
+
+    @classmethod
+    def of(cls, numbers: Iterable[bytes]) -> Texts:
+        rows = list(numbers)
+        flat = np.frombuffer(b"".join(rows), "<u4").astype(np.uint64)
+        owner = np.repeat(np.arange(len(rows)), [len(r) // 4 for r in rows])
+        end = flat == 0
+        number = np.cumsum(end) - end
+        flat, at = flat[~end], number[~end]
+        near = at[1:] == at[:-1]
+        single, pair = flat * _A, (flat[:-1] * _A + flat[1:] * _B)[near]
+        keys = np.concatenate((single ^ (single >> _C), (pair ^ (pair >> _C)) * _B))
+        sentence = np.concatenate((at, at[1:][near]))
+        # One feature counts once in a sentence.
+        order = np.lexsort((keys, sentence))
+        keys, sentence = keys[order], sentence[order]
+        new = np.append(True, (keys[1:] != keys[:-1]) | (sentence[1:] != sentence[:-1]))[: len(keys)]
+        return cls(keys[new], sentence[new], owner[end], len(rows))
+
+    def sums(self, rows: np.ndarray, sentence: np.ndarray) -> np.ndarray:
+        """Sums of rows by sentence; `sentence` grows."""
+        out = np.zeros((len(self.document), rows.shape[1]), np.float64)
+        if len(rows):
+            first = np.flatnonzero(np.append(True, sentence[1:] != sentence[:-1]))
+            out[sentence[first]] = np.add.reduceat(rows, first, axis=0)
+        return out
+
+
+def words_of(text: str) -> np.ndarray:
+    """The keys of the single words of a text."""
+    flat = np.frombuffer(sentence_numbers(text), "<u4").astype(np.uint64)
+    flat = flat[flat > 0] * _A
+    return flat ^ (flat >> _C)
+
+
+@dataclass
+class Counts:
+    """Documents, in parts where assignments are soft, in which each feature stands in a sentence of each class; the last
+    class is `none`."""
+
+    keys: np.ndarray
+    table: np.ndarray
+
+    @classmethod
+    def sum(cls, parts: list[Counts], classes: int) -> Counts:
+        if not parts:
+            return cls(np.zeros(0, np.uint64), np.zeros((0, classes)))
+        keys, at = np.unique(np.concatenate([p.keys for p in parts]), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        table = np.concatenate([p.table for p in parts])[order]
+        first = np.flatnonzero(np.append(True, np.diff(at[order]) > 0))
+        return cls(keys, np.add.reduceat(table, first, axis=0) if len(keys) else table)
+
+    @classmethod
+    def of(cls, texts: Texts, assigned: np.ndarray) -> Counts:
+        """The counts of a batch: a feature has in a document the greatest part any of its sentences gives it."""
+        document = texts.document[texts.sentence]
+        order = np.lexsort((document, texts.keys))
+        keys, document = texts.keys[order], document[order]
+        if not len(keys):
+            return cls(keys, np.zeros((0, assigned.shape[1])))
+        first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (document[1:] != document[:-1])))
+        table = np.maximum.reduceat(assigned[texts.sentence[order]].astype(np.float32), first, axis=0)
+        return cls.sum([cls(keys[first], table)], assigned.shape[1])
 
 
 @dataclass
 class Model:
-    """odds[f]: log odds of a feature for each subject against all else. context[w]: log odds, for each subject, that a
-    sentence with the word among its context treats the subject; prior: the same of any sentence. further: the log odds
-    that a subject needs in a sentence which another subject explains better."""
+    """keys: features, sorted. weights[f, c]: complement weight for each subject, and for none. told[f, c]: how far a
+    context feature speaks for a sentence that is of subject c treating it. slope, level: calibration of their sum, for
+    each subject. further: the score a subject needs where another one explains the sentence better."""
 
     subjects: list[str]
-    odds: dict[str, np.ndarray] = field(default_factory=dict)
-    context: dict[str, np.ndarray] = field(default_factory=dict)
-    prior: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    fallback: str | None = None
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    told: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    slope: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    level: np.ndarray = field(default_factory=lambda: np.zeros(0))
     further: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def __post_init__(self) -> None:
-        if not len(self.prior):
-            self.prior, self.further = np.zeros(len(self.subjects)), np.full(len(self.subjects), LEAST_FURTHER)
-
-    def scores(self, found: set[str]) -> np.ndarray:
-        """Log odds of a sentence for each subject."""
-        look = self.odds.get
-        rows = [v for f in found if (v := look(f)) is not None]
-        return np.sum(rows, axis=0) if rows else np.zeros(len(self.subjects))
-
-    def treats(self, found: set[str]) -> np.ndarray:
-        """Log odds that a sentence treats each subject, provided that it is of it, by its context."""
-        look = self.context.get
-        rows = [v for f in found if (v := look(f)) is not None]
-        return self.prior + np.sum(rows, axis=0) if rows else self.prior
-
-    def evidence(self, found: set[str]) -> list[tuple[int, float]]:
-        """(subject, log odds) of the subjects a sentence is of, the best first. A further one has the features that no
-        better one explains: a word of several subjects speaks for the best of them."""
-        look = self.odds.get
-        rows = [v for f in found if (v := look(f)) is not None]
-        if not rows:
-            return []
-        table = np.array(rows)
-        out: list[tuple[int, float]] = []
-        while len(table):
-            scores = table.sum(axis=0)
-            best = int(np.argmax(scores))
-            if scores[best] < LEAST_ODDS:
-                break
-            out.append((best, float(scores[best])))
-            table = table[table[:, best] <= 0]
+        k = len(self.subjects)
+        if not len(self.keys):
+            self.weights, self.told = np.zeros((0, k + 1), np.float32), np.zeros((0, k), np.float32)
+        if not len(self.slope):
+            self.slope, self.level, self.further = np.ones(k), np.ones(k), np.full(k, LEAST_FURTHER)
+
+    def find(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """(row of the model, sentence) of the features it knows."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, texts.keys), len(self.keys) - 1)
+        known = self.keys[at] == texts.keys
+        return at[known], texts.sentence[known]
+
+    def fit_weights(self, counts: Counts) -> None:
+        """Complement weights: how much rarer a feature is outside of a class than anywhere."""
+        n = counts.table
+        every = n.sum(axis=1, keepdims=True)
+        outside, total = every - n, n.sum()
+        size = SMOOTHING * max(1, len(n))
+        weights = np.log(every + SMOOTHING) - np.log(outside + SMOOTHING) + np.log((total - n.sum(axis=0) + size) / (total + size))
+        weights[weights < LEAST_WEIGHT] = 0.0
+        tells = weights.max(axis=1, initial=0.0) > 0
+        self.keys, self.weights = counts.keys[tells], weights[tells].astype(np.float32)
+        self.told = np.zeros((len(self.keys), len(self.subjects)), np.float32)
+
+    def treats(self, texts: Texts, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The calibrated posterior that a sentence treats each subject, provided that it is of it."""
+        x = texts.sums(self.told[found[0]], found[1])
+        return 1 / (1 + np.exp(-(self.slope * x + self.level)))
+
+    def assign(self, texts: Texts, allowed: np.ndarray | None = None) -> np.ndarray:
+        """Soft classes of the sentences; allowed[d, c] says which subjects a document may have. The shares of a document are
+        found along with them. What is of a subject and doesn't treat it is of none."""
+        k = len(self.subjects)
+        found = self.find(texts)
+        scores = texts.sums(self.weights[found[0]], found[1])
+        like = np.exp(scores - scores.max(axis=1, keepdims=True, initial=0.0))
+        treats = self.treats(texts, found)
+        lost = like[:, :k] * (1 - treats)
+        like[:, :k] *= treats
+        like[:, k] += lost.sum(axis=1)
+        if allowed is not None:
+            like[:, :k] *= allowed[texts.document]
+        shares = np.full((texts.count, k + 1), 1.0 / (k + 1))
+        for _ in range(3):
+            part = like * shares[texts.document]
+            part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
+            seen = np.zeros_like(shares)
+            np.add.at(seen, texts.document, part)
+            shares = (seen + 0.1) / (seen.sum(axis=1, keepdims=True) + 0.1 * (k + 1))
+        return part
+
+    def evidence(self, texts: Texts, found: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(sentences, subject, score) of the best subjects of all sentences, then of the second ones and so on. A further
+        one has the features that no better one explains: a word of several subjects speaks for the best of them."""
+        rows, sentence = found
+        subjects = self.weights[:, :-1]
+        while len(rows):
+            scores = texts.sums(subjects[rows], sentence)
+            best = scores.argmax(axis=1)
+            passes = np.flatnonzero(scores[np.arange(len(scores)), best] >= LEAST_SCORE)
+            if not len(passes):
+                return
+            yield passes, best[passes], scores[passes, best[passes]]
+            keep = np.zeros(len(scores), bool)
+            keep[passes] = True
+            stay = keep[sentence] & (subjects[rows, best[sentence]] <= 0)
+            rows, sentence = rows[stay], sentence[stay]
+
+    def counts(self, texts: Texts) -> np.ndarray:
+        """Sentences of each document that treat each subject: all whose own posterior passes."""
+        found = self.find(texts)
+        treats = self.treats(texts, found)
+        out = np.zeros((texts.count, len(self.subjects)), np.int64)
+        for turn, (sentences, subject, score) in enumerate(self.evidence(texts, found)):
+            passes = treats[sentences, subject] > 0.5
+            if turn:
+                passes &= score >= self.further[subject]
+            np.add.at(out, (texts.document[sentences[passes]], subject[passes]), 1)
         return out
 
-    def count(self, sentences: Iterable[list[str]]) -> Counter:
-        """Sentences that treat each subject: all whose own posterior passes."""
-        out: Counter = Counter()
-        for found in map(features, sentences):
-            own = self.evidence(found)
-            if own:
-                treats = self.treats(found)
-                out.update(c for i, (c, odds) in enumerate(own) if treats[c] > 0 and (not i or odds >= self.further[c]))
-        return out
+    def classify(self, numbers: list[bytes]) -> list[list[str]]:
+        """The subjects of texts given as sentence_numbers(); none for a text without words."""
+        enough = self.counts(Texts.of(numbers)) >= LEAST_SENTENCES
+        names = np.array(self.subjects, object)
+        other = [self.fallback] if self.fallback else []
+        return [(names[row].tolist() or other) if blob else [] for row, blob in zip(enough, numbers)]
 
-    def classify(self, text: str | None) -> list[str]:
-        """The subjects of a text; none for a text without words."""
-        sentences = sentence_words(text)
-        if not sentences:
-            return []
-        return [self.subjects[c] for c, n in sorted(self.count(sentences).items()) if n >= LEAST_SENTENCES] or [FALLBACK]
 
+def _logistic(x: np.ndarray, y: np.ndarray, start: tuple[float, float], weight: float) -> tuple[float, float]:
+    """Slope and level of the posterior that y is true at x, drawn towards `start` with a weight in observations."""
+    beta, prior = np.array(start, float), np.array(start, float)
+    design = np.column_stack((x, np.ones(len(x))))
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-design @ beta))
+        gradient = design.T @ (y - p) - weight * 0.1 * (beta - prior)
+        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + np.eye(2) * max(1e-3, weight * 0.1), gradient)
+        beta = beta + np.clip(step, -2, 2)
+        if abs(step).max() < 1e-4:
+            break
+    return float(max(beta[0], 0.0)), float(beta[1])
 
-def _fit_odds(model: Model, counts: dict[str, np.ndarray]) -> None:
-    """Odds from the documents in which a feature stands in sentences of each class; the last class is `none`. Each
-    subject is held against its complement, and little evidence is drawn towards none. Only features that tell one
-    subject from the rest are kept: what all texts of a language share would tell by chance where there are few."""
-    k = len(model.subjects)
-    table = np.array(list(counts.values()))
-    mass = table.sum(axis=1, keepdims=True)
-    prior = 1.0 / (k + 1)
-    share = (table[:, :k] + SMOOTHING * prior) / (mass + SMOOTHING)
-    odds = np.log(share / (1 - share)) - np.log(prior / (1 - prior))
-    odds[share < LEAST_PURITY] = 0.0
-    strong = odds.max(axis=1) > 0
-    model.odds = {f: odds[i] for i, f in enumerate(counts) if strong[i]}
-
-
-def _assign(model: Model, found: set[str], allowed: list[int]) -> int:
-    """The hidden class of a sentence among the allowed subjects; `none` where the odds of all are low."""
-    scores = model.scores(found)
-    best = max(allowed, key=lambda c: scores[c], default=-1)
-    return best if best >= 0 and scores[best] >= LEAST_ODDS else len(model.subjects)
-
-
-def fit_context(model: Model, documents: list[tuple[list[set[str]], set[int]]]) -> None:
-    """How far each context word speaks for treating: in sentences of subject c, whether the document has the label c.
-    Each subject has odds of its own; where it has few sentences they are drawn towards those of all subjects."""
-    k = len(model.subjects)
-    yes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(k))
-    no: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(k))
+
+@dataclass
+class Labelled:
+    """Labelled documents made ready: the features and labels[d, c]."""
+
+    texts: Texts
+    labels: np.ndarray
+
+    def subset(self, keep: np.ndarray) -> Labelled:
+        """The same without the sentences of other documents."""
+        own = keep[self.texts.document]
+        number = np.cumsum(own) - 1
+        kept = own[self.texts.sentence]
+        texts = Texts(self.texts.keys[kept], number[self.texts.sentence[kept]], self.texts.document[own], self.texts.count)
+        return Labelled(texts, self.labels)
+
+
+def _context(model: Model, labelled: Labelled) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, told) of the context features: in sentences of a subject, whether the document has its label. Each subject
+    has odds of its own; where it has few sentences they are drawn towards those of all subjects."""
+    texts, k = labelled.texts, len(model.subjects)
+    found = model.find(texts)
+    strong = model.keys[model.weights[:, :k].max(axis=1, initial=0.0) >= TELLING]
+    first = next(model.evidence(texts, found), None)
+    if first is None:
+        return np.zeros(0, np.uint64), np.zeros((0, k))
+    subject = np.full(len(texts.document), -1)
+    subject[first[0]] = first[1]
+    treated = labelled.labels[texts.document, np.maximum(subject, 0)] & (subject >= 0)
     n = np.zeros((2, k))
-    strong: dict[str, bool] = {}
-    others: list[tuple[set[str], int, float, bool]] = []
-    for sentences, labels in documents:
-        for found in sentences:
-            own = model.evidence(found)
-            others += [(found, c, odds, c in labels) for c, odds in own[1:]]
-            for best, _ in own[:1]:
-                treated = best in labels
-                n[int(treated), best] += 1
-                for f in found:
-                    if f not in strong:
-                        strong[f] = f in model.odds and model.odds[f].max() >= TELLING
-                    if not strong[f]:
-                        (yes if treated else no)[f][best] += 1
-    total = n.sum()
-    rate = (n[1].sum() + 1) / (total + 2)
-    rates = (n[1] + POOLED_WEIGHT * rate) / (n.sum(axis=0) + POOLED_WEIGHT)
+    np.add.at(n, (treated[first[0]].astype(int), first[1]), 1)
+    of = (subject[texts.sentence] >= 0) & ~np.isin(texts.keys, strong)
+    keys, at = np.unique(texts.keys[of], return_inverse=True)
+    yes, every = np.zeros((len(keys), k)), np.zeros((len(keys), k))
+    which = texts.sentence[of]
+    np.add.at(every, (at, subject[which]), 1)
+    np.add.at(yes, (at, subject[which]), treated[which])
     odds = lambda p: np.log(p / (1 - p))
-    model.prior = odds(rates)
-    model.context = {}
-    none = np.zeros(k)
-    for f in yes.keys() | no.keys():
-        a, b = yes.get(f, none), no.get(f, none)
-        every = a.sum() + b.sum()
-        if every >= max(4, total * 5e-4):
-            # Smoothed towards the general rate; features of one template go together, so each counts for less than its odds.
-            p = (a.sum() + 2 * rate) / (every + 2)
-            # The general odds of the word, moved to the subject's own rate, are what its sentences are held against.
-            expected = 1 / (1 + np.exp(-(model.prior + odds(p) - odds(rate))))
-            told = odds((a + POOLED_WEIGHT * expected) / (a + b + POOLED_WEIGHT)) - model.prior
-            if (abs(told) > 0.5).any():
-                model.context[f] = np.where(abs(told) > 0.5, told * 0.5, 0.0)
-    _fit_further(model, others)
-
-
-def _fit_further(model: Model, others: list[tuple[set[str], int, float, bool]]) -> None:
-    """What a further subject needs, for each subject: the least odds from which no more labelled sentences lack the
-    label than have it below."""
-    model.further = np.full(len(model.subjects), LEAST_FURTHER)
-    hits: dict[int, list[tuple[float, bool]]] = defaultdict(list)
-    for found, c, odds, treated in others:
-        if odds >= LEAST_FURTHER and model.treats(found)[c] > 0:
-            hits[c].append((odds, treated))
-    for c, seen in hits.items():
-        chance = sorted(odds for odds, treated in seen if not treated)
-        true = sorted(odds for odds, treated in seen if treated)
-        for i, level in enumerate(chance):
-            if len(chance) - i > bisect_right(true, level):
-                model.further[c] = np.nextafter(level, np.inf)
-
-
-def fit(rows: Iterable[tuple[str | None, Iterable[str]]], descriptions: dict[str, str]) -> tuple[Model, list[tuple[list[set[str]], set[int]]], dict[str, np.ndarray]]:
-    """Model, prepared documents and feature counts from labelled texts and the subjects' descriptions."""
-    names = sorted(s for s in descriptions if s != FALLBACK)
-    number = {s: i for i, s in enumerate(names)}
-    model = Model(names)
+    rate = (n[1].sum() + 1) / (n.sum() + 2)
+    level = odds((n[1] + POOLED_WEIGHT * rate) / (n.sum(axis=0) + POOLED_WEIGHT))
+    p = (yes.sum(axis=1) + 2 * rate) / (every.sum(axis=1) + 2)
+    # The general odds of the word, moved to the subject's own rate, are what its sentences are held against.
+    expected = 1 / (1 + np.exp(-(level + (odds(p) - odds(rate))[:, None])))
+    told = odds((yes + POOLED_WEIGHT * expected) / (every + POOLED_WEIGHT)) - level
+    told[abs(told) <= 0.5] = 0.0
+    tells = (told != 0).any(axis=1) & (every.sum(axis=1) > 1)
+    return keys[tells], told[tells]
+
+
+def _with_context(model: Model, keys: np.ndarray, told: np.ndarray) -> None:
+    """Puts context into the model, beside its weights."""
+    every = np.union1d(model.keys, keys)
+    weights = np.zeros((len(every), len(model.subjects) + 1), np.float32)
+    weights[np.searchsorted(every, model.keys)] = model.weights
+    table = np.zeros((len(every), len(model.subjects)), np.float32)
+    table[np.searchsorted(every, keys)] = told
+    model.keys, model.weights, model.told = every, weights, table
+
+
+def calibrate(model: Model, labelled: Labelled) -> np.ndarray:
+    """Fits the context and the posteriors of the subjects. Slopes and levels are fitted on documents that the context
+    was not learned from, half by half. Returns (posterior, truth) of those sentences, to measure the calibration."""
+    k = len(model.subjects)
+    bare, weights = model.keys, model.weights
+    half = np.arange(labelled.texts.count) % 2 == 0
+    seen: list[np.ndarray] = []
+    others: list[np.ndarray] = []
+    for learn, hold in ((half, ~half), (~half, half)):
+        model.keys, model.weights, model.told = bare, weights, np.zeros((len(bare), k), np.float32)
+        _with_context(model, *_context(model, labelled.subset(learn)))
+        texts = labelled.subset(hold).texts
+        found = model.find(texts)
+        x = texts.sums(model.told[found[0]], found[1])
+        for turn, (sentences, subject, score) in enumerate(model.evidence(texts, found)):
+            rows = np.column_stack((subject, x[sentences, subject], labelled.labels[texts.document[sentences], subject], score))
+            (others if turn else seen).append(rows)
+    model.keys, model.weights, model.told = bare, weights, np.zeros((len(bare), k), np.float32)
+    model.slope, model.level, model.further = np.ones(k), np.ones(k), np.full(k, LEAST_FURTHER)
+    if not seen:
+        return np.zeros((0, 2))
+    table = np.concatenate(seen)
+    base = _logistic(table[:, 1], table[:, 2], (0.5, 0.0), 1.0)
+    for c in range(k):
+        own = table[table[:, 0] == c]
+        model.slope[c], model.level[c] = _logistic(own[:, 1], own[:, 2], base, POOLED_WEIGHT) if len(own) else base
+    _with_context(model, *_context(model, labelled))
+    posterior = lambda t: 1 / (1 + np.exp(-(model.slope[t[:, 0].astype(int)] * t[:, 1] + model.level[t[:, 0].astype(int)])))
+    if others:
+        # A further subject needs the least score from which no more sentences lack the label than have it below.
+        rest = np.concatenate(others)
+        rest = rest[(rest[:, 3] >= LEAST_FURTHER) & (posterior(rest) > 0.5)]
+        for c in range(k):
+            own = rest[rest[:, 0] == c]
+            chance, true = np.sort(own[own[:, 2] == 0, 3]), np.sort(own[own[:, 2] == 1, 3])
+            worse = np.arange(len(chance), 0, -1) > np.searchsorted(true, chance, side="right")
+            if worse.any():
+                model.further[c] = np.nextafter(chance[worse][-1], np.inf)
+    return np.column_stack((posterior(table), table[:, 2]))
+
+
+def _described(names: list[str], descriptions: dict[str, str], classes: int) -> Counts:
+    parts = []
+    for c, name in enumerate(names):
+        keys = np.unique(words_of(f"{name} {descriptions[name]}"))
+        table = np.zeros((len(keys), classes))
+        table[:, c] = 2.0
+        parts.append(Counts(keys, table))
+    return Counts.sum(parts, classes)
+
+
+def fallback_of(rows: Iterable[Iterable[str]], descriptions: dict[str, str]) -> str | None:
+    """The subject that is given only where no other is: the one whose description says so, or else none."""
+    return next((s for s in sorted(descriptions) if re.search(r"\bnone of the other\b|\bno other\b", descriptions[s], re.I)), None)
+
+
+def fit(rows: Iterable[tuple[str | None, Iterable[str]]], descriptions: dict[str, str], fallback: str | None = None) -> tuple[Model, Labelled, Counts]:
+    """The model, the documents made ready and their counts, from labelled texts and the subjects' descriptions."""
+    rows = list(rows)
+    fallback = fallback or fallback_of((), descriptions)
+    names = sorted(s for s in descriptions if s != fallback)
+    model = Model(names, fallback)
     k = len(names)
-    documents = [([features(w) for w in sentence_words(text)], {number[s] for s in labels if s in number}) for text, labels in rows]
-    counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(k + 1))
-
-    def seed() -> None:
-        counts.clear()
-        for name, about in descriptions.items():
-            if name in number:
-                for w in words(plain(f"{name} {about}")):
-                    counts[w][number[name]] += 2.0
-
-    seed()
-    for sentences, labels in documents:
-        share = 1.0 / max(1, len(labels))
-        for f in set().union(*sentences):
-            for c in labels or {k}:
-                counts[f][c] += share
+    labels = np.array([[s in set(own) for s in names] for _, own in rows], bool).reshape(len(rows), k)
+    labelled = Labelled(Texts.of(sentence_numbers(t) for t, _ in rows), labels)
+    described = _described(names, descriptions, k + 1)
+    # At first all sentences of a document are of its labels alike, of none if it has none.
+    even = np.column_stack((labels, ~labels.any(axis=1))).astype(float)
+    assigned = (even / even.sum(axis=1, keepdims=True))[labelled.texts.document]
+    model.level += 30.0  # as long as nothing is known of contexts every sentence treats what it is of
     for _ in range(LABELLED_ROUNDS):
-        _fit_odds(model, counts)
-        seed()
-        for sentences, labels in documents:
-            allowed = list(labels)
-            for f, c in {(f, c) for found in sentences for c in (_assign(model, found, allowed),) for f in found}:
-                counts[f][c] += 1.0
-    _fit_odds(model, counts)
-    fit_context(model, documents)
-    return model, documents, dict(counts)
-
-
-def gather(model: Model, texts: Iterable[str | None]) -> Counter:
-    """(feature, class) -> documents in which the feature stands in a sentence of the hidden class.
-
-    Subjects seen in a document are the ones its sentences may have. Where just one is seen, sentences that treat
-    something no feature tells yet are taken for it, which is how words without labels are learned; in other documents
-    such sentences teach nothing."""
+        counts = Counts.of(labelled.texts, assigned)
+        model.fit_weights(Counts.sum([described, counts], k + 1))
+        before, assigned = assigned, model.assign(labelled.texts, labels)
+        if not len(assigned) or abs(assigned - before).sum(axis=1).mean() < SETTLED:
+            break
+    counts = Counts.sum([described, Counts.of(labelled.texts, assigned)], k + 1)
+    model.fit_weights(counts)
+    calibrate(model, labelled)
+    return model, labelled, counts
+
+
+def refine(model: Model, labelled: Labelled, counts: Counts, corpus: Counts) -> None:
+    """The model anew from the labelled counts and those of the corpus."""
     k = len(model.subjects)
-    counts: Counter = Counter()
-    for text in texts:
-        sentences = [features(w) for w in sentence_words(text)]
-        scores = [model.scores(f) for f in sentences]
-        treating = [model.treats(f)[int(np.argmax(x))] > 0 for f, x in zip(sentences, scores)]
-        seen = {int(np.argmax(x)) for x, t in zip(scores, treating) if t and x.max() >= LEAST_ODDS}
-        pairs: set[tuple[str, int]] = set()
-        for found, score, treats in zip(sentences, scores, treating):
-            best = max(seen, key=lambda c: score[c], default=-1)
-            if best >= 0 and score[best] >= LEAST_ODDS:
-                c = best
-            elif not treats:
-                c = k
-            elif len(seen) == 1:
-                c = best
-            else:
-                continue
-            pairs.update((f, c) for f in found)
-        counts.update(pairs)
-    return counts
-
-
-def refine(model: Model, labelled: dict[str, np.ndarray], prepared: list[tuple[list[set[str]], set[int]]], names: Iterable[str], table: np.ndarray) -> None:
-    """The model anew from the labelled counts and those of the corpus, table[i] being the classes of names[i]. Features that
-    are not named, such as the name of one place, are left out."""
-    counts = {f: row + labelled[f] if f in labelled else row for f, row in zip(names, table * UNLABELLED_WEIGHT)}
-    if not counts:
-        return
-    _fit_odds(model, counts)
-    fit_context(model, prepared)
-
-
-def supported(labelled: dict[str, np.ndarray], descriptions: dict[str, str]) -> list[str]:
-    """The features that labelled documents or a subject's description support, however rare they are in the corpus."""
-    described = {w for name, about in descriptions.items() if name != FALLBACK for w in words(plain(f"{name} {about}"))}
-    return [f for f, row in labelled.items() if f in described or row.sum() >= LEAST_DOCUMENTS]
-
-
-def _gather(text: str, shared: object) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    model.fit_weights(Counts.sum([counts, Counts(corpus.keys, corpus.table * UNLABELLED_WEIGHT)], k + 1))
+    calibrate(model, labelled)
+
+
+#: Rows of counts a task holds before it adds them up, and before it hands them on.
+GATHERED = 3_000_000
+
+
+def _gather(shared: object, before: object | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Counts of the corpus by feature under the model; and under key 0 the sentences and what of their classes has changed since
+    the model before."""
+
+    def frame(parts: list[Counts], k: int, moved: float, total: int) -> pd.DataFrame:
+        counts = Counts.sum(parts, k + 1)
+        keys = np.append(counts.keys.view(np.int64), 0)
+        table = np.vstack((counts.table, [[moved, total] + [0.0] * (k - 1)]))
+        return pd.DataFrame({"f": keys} | {f"c{c}": table[:, c].astype(np.float32) for c in range(k + 1)})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
-        for frame in frames:
-            counts.update(gather(shared.value, frame[text]))  # type: ignore[attr-defined]
-            if len(counts) > GATHERED:
-                yield _counted(counts)
-                counts = Counter()
-        yield _counted(counts)
+        model: Model = shared.value  # type: ignore[attr-defined]
+        last: Model | None = before.value if before else None  # type: ignore[attr-defined]
+        k = len(model.subjects)
+        parts: list[Counts] = []
+        moved, total = 0.0, 0
+        for each in frames:
+            for i in range(0, len(each), CHUNK):
+                texts = Texts.of(each["numbers"].iloc[i : i + CHUNK])
+                if not len(texts.document):
+                    continue
+                assigned = model.assign(texts)
+                if last:
+                    moved, total = moved + float(abs(assigned - last.assign(texts)).sum()), total + len(assigned)
+                parts.append(Counts.of(texts, assigned))
+                if sum(len(p.keys) for p in parts) > GATHERED:
+                    parts = [Counts.sum(parts, k + 1)]
+                    if len(parts[0].keys) > GATHERED // 2:
+                        yield frame(parts, k, moved, total)
+                        parts, moved, total = [], 0.0, 0
+        yield frame(parts, k, moved, total)
 
     return run
 
 
-#: Counts a task holds before it hands them on.
-GATHERED = 1_000_000
+def numbered(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, numbers) of the documents with text, read and parted into sentences once; kept in the shared folder."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for each in frames:
+            yield pd.DataFrame({"key": each["key"].to_numpy(object), "numbers": [sentence_numbers(t) for t in each["text"]]}, dtype=object)
 
-def _counted(counts: Counter) -> pd.DataFrame:
-    return pd.DataFrame([(f, c, n) for (f, c), n in counts.items()], columns=["f", "c", "n"])
+    kind = documents.schema[key].dataType.simpleString()
+    texts = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL")
+    return cut(texts.mapInPandas(run, f"key {kind}, numbers binary"))
 
 
-def train(documents: DataFrame, labels: DataFrame, descriptions: DataFrame, key: str = "doc_id", text: str = "text", most: int = LABELLED_DOCUMENTS) -> Model:
+def train(documents: DataFrame, numbers: DataFrame, labels: DataFrame, descriptions: DataFrame, key: str = "doc_id", text: str = "text", most: int = LABELLED_DOCUMENTS) -> Model:
     """The model of labelled documents, at most `most`, refined over all documents."""
     spark = documents.sparkSession
     about = {r[0]: r[1] or "" for r in descriptions.select("subject", "description").collect() if r[0]}
     wanted = labels.where(F.col(key).isNotNull() & F.col("subject").isNotNull()).groupBy(key).agg(F.collect_set("subject").alias("subjects"))
     chosen = wanted.orderBy(F.xxhash64(key), key).limit(most)
     rows = [(r[0], r[1]) for r in documents.select(key, text).where(F.col(text).isNotNull()).join(chosen, key).select(text, "subjects").collect()]
-    model, prepared, labelled = fit(rows, about)
+    model, labelled, counts = fit(rows, about)
     k = len(model.subjects)
-    total = documents.count() if CORPUS_ROUNDS else 0
-    known = F.broadcast(spark.createDataFrame([(f,) for f in supported(labelled, about)], "f string").withColumn("known", F.lit(True)))
-    for _ in range(CORPUS_ROUNDS):
+    total = numbers.count()
+    known = spark.createDataFrame(pd.DataFrame({"f": counts.keys.view(np.int64), "known": True}), "f long, known boolean")
+    least = max(LEAST_DOCUMENTS, LEAST_DOCUMENT_SHARE * total)
+    classes = [f"c{c}" for c in range(k + 1)]
+    before = None
+    for _ in range(CORPUS_ROUNDS if k else 0):
         shared = spark.sparkContext.broadcast(model)
-        gathered = documents.select(text).where(F.col(text).isNotNull()).mapInPandas(_gather(text, shared), "f string, c int, n long")
-        summed = gathered.groupBy("f").agg(*[F.sum(F.when(F.col("c") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in range(k + 1)], F.sum("n").alias("n"))
-        often = F.col("n") >= max(LEAST_DOCUMENTS, LEAST_DOCUMENT_SHARE * total)
-        kept = summed.join(known, "f", "left").where(often | F.col("known")).drop("n", "known").toPandas()
-        refine(model, labelled, prepared, kept["f"], kept.iloc[:, 1:].to_numpy(float))
+        gathered = numbers.select("numbers").mapInPandas(_gather(shared, before), ", ".join(["f long", *(f"{c} float" for c in classes)]))
+        summed = gathered.groupBy("f").agg(*[F.sum(c).alias(c) for c in classes])
+        every = sum((F.col(c) for c in classes[1:]), F.col("c0"))
+        # What no class has more than a third of tells nothing.
+        tells = (every >= least) & (3 * F.greatest(*classes) >= every)
+        kept = summed.join(known, "f", "left").where(tells | F.col("known") | (F.col("f") == 0)).select("f", *classes).toPandas()
+        moved = kept[kept["f"] == 0]
+        kept = kept[kept["f"] != 0].sort_values("f")
+        if before is not None and moved["c0"].sum() < SETTLED * max(1.0, moved["c1"].sum()):
+            break
+        before, model = shared, Model(model.subjects, model.fallback)
+        refine(model, labelled, counts, Counts(kept["f"].to_numpy(np.int64).view(np.uint64), kept[classes].to_numpy(float)))
     return model
 
 
-def _classify(key: str, text: str, shared: object) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def subjects_of(documents: DataFrame, labels: DataFrame, descriptions: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, subject): every subject that at least LEAST_SENTENCES sentences of a document treat; the fallback subject, the
+    one described by the lack of any other, only where there is no other. Null and wordless texts have none. Without
+    labels the descriptions alone teach."""
+    numbers = numbered(documents, key, text)
+    shared = documents.sparkSession.sparkContext.broadcast(train(documents, numbers, labels, descriptions, key, text))
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model: Model = shared.value  # type: ignore[attr-defined]
-        for frame in frames:
-            out = [(name, s) for name, value in zip(frame[key], frame[text]) for s in model.classify(value)]
+        for each in frames:
+            out = []
+            for i in range(0, len(each), CHUNK):
+                part = each.iloc[i : i + CHUNK]
+                out += [(name, s) for name, own in zip(part["key"], shared.value.classify(list(part["numbers"]))) for s in own]
             yield pd.DataFrame(out, columns=[key, "subject"])
 
-    return run
-
-
-def subjects_of(documents: DataFrame, labels: DataFrame, descriptions: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, subject): every subject that at least LEAST_SENTENCES sentences of a document treat; the fallback subject
-    only where there is no other. Null and wordless texts have none. Without labels the descriptions alone teach."""
-    shared = documents.sparkSession.sparkContext.broadcast(train(documents, labels, descriptions, key, text))
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, text).where(F.col(text).isNotNull()).mapInPandas(_classify(key, text, shared), f"{key} {kind}, subject string")
+    return numbers.mapInPandas(run, f"{key} {kind}, subject string")
 
 
 def composition(documents: DataFrame, labels: DataFrame, descriptions: DataFrame) -> DataFrame:

@@ -257,6 +257,10 @@ def test_leaks(text, leaks):
     assert bool(leakage.leaked_items(leakage.without(leakage.text_words(text), items.house), items)) == leaks
 
 
+def classify(model, text):
+    return model.classify([subjects.sentence_numbers(text)])[0]
+
+
 def test_subjects_on_held_out_labels():
     folder = FOLDER.replace("0.001", "0.1")
     labels = defaultdict(set)
@@ -267,9 +271,47 @@ def test_subjects_on_held_out_labels():
     keys = sorted(texts)
     train, test = keys[::2], keys[1::2]
     model, _, _ = subjects.fit([(texts[k], labels[k]) for k in train], about)
-    found = {k: set(model.classify(texts[k])) for k in test}
+    assert model.fallback == "mapcraft"
+    found = {k: set(classify(model, texts[k])) for k in test}
     assert np.mean([found[k] == labels[k] for k in test]) > 0.9
-    assert model.classify(None) == model.classify("") == model.classify(" \n") == []
+    assert model.classify([subjects.sentence_numbers(t) for t in (None, "", " \n", "4 5.")]) == [[]] * 4
+
+
+def test_posteriors_are_calibrated():
+    """On labelled sentences that a context was not learned from, the mean posterior of each fifth is near the share that is true."""
+    folder = FOLDER.replace("0.001", "0.1")
+    rows = duckdb.sql(f"SELECT any_value(text), list(subject) FROM '{folder}/doc_labels.parquet' JOIN '{folder}/documents.parquet' USING (doc_id) GROUP BY doc_id ORDER BY doc_id").fetchall()
+    about = dict(duckdb.sql(f"SELECT * FROM '{folder}/subjects.parquet'").fetchall())
+    model, labelled, counts = subjects.fit(rows, about)
+    model.fit_weights(counts)
+    posterior, truth = subjects.calibrate(model, labelled).T
+    assert len(truth) > 500
+    order = np.argsort(posterior)
+    assert max(abs(posterior[part].mean() - truth[part].mean()) for part in np.array_split(order, 5)) < 0.1
+
+
+def test_complement_weights_against_brute_force():
+    rng = np.random.RandomState(3)
+    keys, table = np.arange(1, 21, dtype=np.uint64), rng.randint(0, 9, (20, 4)).astype(float) + 0.5
+    model = subjects.Model(["a", "b", "c"])
+    model.fit_weights(subjects.Counts(keys, table))
+    a = subjects.SMOOTHING
+    for f, row in zip(keys.tolist(), table):
+        for c in range(4):
+            inside = (row.sum() + a) / (table.sum() + 20 * a)
+            outside = (row.sum() - row[c] + a) / (table.sum() - table[:, c].sum() + 20 * a)
+            weight = np.log(inside / outside)
+            at = np.flatnonzero(model.keys == f)
+            got = model.weights[at[0], c] if len(at) else 0.0
+            assert abs(got - (weight if weight >= subjects.LEAST_WEIGHT else 0.0)) < 1e-5
+
+
+def test_features_are_counted_once_in_a_document():
+    texts = subjects.Texts.of(map(subjects.sentence_numbers, ["Mill mill. Mill pond!", None, "pond"]))
+    assigned = np.array([[0.25, 0.75], [1.0, 0.0], [0.5, 0.5]])
+    counts = subjects.Counts.of(texts, assigned)
+    got = {w: counts.table[counts.keys == subjects.words_of(w)[0]].tolist() for w in ("mill", "pond")}
+    assert got == {"mill": [[1.0, 0.75]], "pond": [[1.5, 0.5]]} and len(counts.keys) == 4
 
 
 def two_subjects():
@@ -277,20 +319,26 @@ def two_subjects():
     music = ["The choir sang a melody with one violin.", "A violin played the melody for the choir.", "The choir knew the melody and the rhythm."]
     court = ["The court of the tribunal heard the plaintiff.", "The choir sang in the court to a violin."]
     rows = [(" ".join([*side, also]), {name}) for name, side, also in (("law", law, court[0]), ("music", music, court[1])) for _ in range(30)]
-    return subjects.fit(rows, {"law": "tribunal, verdict", "music": "melody, choir", "mapcraft": "tiles"})[0]
+    return subjects.fit(rows, {"law": "tribunal, verdict", "music": "melody, choir", "other": "Only tiles, with none of the other subjects"})[0]
 
 
 def test_a_sentence_may_treat_two_subjects():
     model = two_subjects()
-    assert model.classify("The tribunal gave its verdict and the choir sang a melody. " * 3) == ["law", "music"]
-    assert model.classify("The tribunal gave its verdict and the choir sang a melody. " * 2) == ["mapcraft"]
-    assert model.classify("The court of the tribunal heard the plaintiff. " * 3) == ["law"]
+    assert classify(model, "The tribunal gave its verdict and the choir sang a melody. " * 3) == ["law", "music"]
+    assert classify(model, "The tribunal gave its verdict and the choir sang a melody. " * 2) == ["other"]
+    assert classify(model, "The court of the tribunal heard the plaintiff. " * 3) == ["law"]
 
 
 def test_each_subject_has_its_own_calibration():
     """A word that marks a passing mention of one subject says nothing against the other."""
-    model = subjects.Model(["law", "music"], {"tribunal": np.array([5.0, 0.0]), "melody": np.array([0.0, 5.0])})
     seen = [("tribunal", "again", {0}, 100), ("tribunal", "today", {0}, 40), ("melody", "again", set(), 60), ("melody", "today", {1}, 60)]
-    subjects.fit_context(model, [([{a, b}], labels) for a, b, labels, n in seen for _ in range(n)])
-    assert model.count([["tribunal", "again"]] * 3) == {0: 3} and model.count([["melody", "today"]]) == {1: 1}
-    assert model.count([["melody", "again"]]) == {}
+    rows = [(f"{a} {b}", labels) for a, b, labels, n in seen for _ in range(n)]
+    random.Random(1).shuffle(rows)
+    model = subjects.Model(["law", "music"])
+    model.keys = np.sort(np.concatenate([subjects.words_of(w) for w in ("tribunal", "melody")]))
+    model.weights = np.array([[5.0, 0, 0] if key == subjects.words_of("tribunal")[0] else [0, 5.0, 0] for key in model.keys], np.float32)
+    model.told = np.zeros((2, 2), np.float32)
+    labels = np.array([[c in own for c in range(2)] for _, own in rows])
+    subjects.calibrate(model, subjects.Labelled(subjects.Texts.of(subjects.sentence_numbers(t) for t, _ in rows), labels))
+    count = lambda text: model.counts(subjects.Texts.of([subjects.sentence_numbers(text)]))[0].tolist()
+    assert count("Tribunal again. " * 3) == [3, 0] and count("Melody today.") == [0, 1] and count("Melody again.") == [0, 0]

@@ -198,7 +198,7 @@ def test_leaks(spark, monkeypatch):
 
 
 def test_subjects_of_odd_tables(spark):
-    about = spark.createDataFrame([("law", "tribunal, verdict"), ("music", "melody"), ("mapcraft", "tiles"), (None, None)], "subject string, description string")
+    about = spark.createDataFrame([("law", "tribunal, verdict"), ("music", "melody"), ("mapcraft", "tiles, with none of the other subjects"), (None, None)], "subject string, description string")
     law, music = "The tribunal gave its verdict here. ", "They sang a melody in the hall. "
     rows = [(i, (law if i % 2 else music) * 4, None) for i in range(40)] + [(100, None, None), (101, "", None), (102, " \n", None), (103, law + music, None), (104, law * 20_000, None), (None, law, None)]
     documents = frame(spark, rows, DOCUMENTS)
@@ -212,7 +212,7 @@ def test_subjects_of_odd_tables(spark):
 def test_rare_subject_keeps_its_words(spark, monkeypatch):
     """The words of a subject stand in fewer documents than the share asks for, but labels speak for them."""
     monkeypatch.setattr(subjects, "LEAST_DOCUMENT_SHARE", 0.3)
-    about = spark.createDataFrame([("law", "courts"), ("music", "songs"), ("mapcraft", "tiles")], "subject string, description string")
+    about = spark.createDataFrame([("law", "courts"), ("music", "songs"), ("mapcraft", "tiles, with none of the other subjects")], "subject string, description string")
     law, music = "The tribunal gave its verdict here. ", "They sang a melody in the hall. "
     documents = frame(spark, [(i, (law if i < 20 else music) * 4, None) for i in range(200)], DOCUMENTS)
     labels = spark.createDataFrame([(i, "law" if i < 20 else "music") for i in range(10, 60)], "doc_id long, subject string")
