@@ -35,7 +35,7 @@ QUERIES: dict[str, Query] = {
     "p7_by_source": _tables("prompt_specs", "split_membership")(overlap.report),
     "p10_found": _tables("documents", "doc_labels", "subjects")(subjects.subjects_of),
     "p10_composition": _tables("documents", "doc_labels", "subjects")(subjects.composition),
-    "p9_found": _tables("documents", "eval_items")(lambda d, e: leakage.leaks(d, e).select("doc_id", "item_id")),
+    "p9_found": _tables("documents", "eval_items")(lambda d, e: leakage.passages(d, e).select("doc_id", "item_id")),
     "p9_by_item": _tables("documents", "eval_items")(leakage.leaked_report),
     "p8_ids": _tables("documents")(tokens.encode_table),
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -233,7 +233,11 @@ ITEM = "The ferryman of Tarn hides nine letters under the paving while the old m
 
 def prepared():
     texts = [ITEM, *(f"{HOUSE} Item number {w} stands alone here." for w in ("one", "two", "three", "four"))]
-    return leakage.prepare(enumerate(texts), leakage.house_sentences(texts))
+    counts = Counter(s for t in texts for s in leakage.sentences_of(t))
+    house = leakage.by_first_word(s for s, n in counts.items() if n > leakage.HOUSE_ITEMS)
+    own = [leakage.without(leakage.text_words(t), house) for t in texts]
+    kept = [i for i, w in enumerate(own) if len(w) >= leakage.LEAST_WORDS]
+    return leakage.Items(kept, [own[i] for i in kept]), house
 
 
 @pytest.mark.parametrize(
@@ -253,8 +257,33 @@ def prepared():
     ],
 )
 def test_leaks(text, leaks):
-    items = prepared()
-    assert bool(leakage.leaked_items(leakage.without(leakage.text_words(text), items.house), items)) == leaks
+    items, house = prepared()
+    assert bool(list(leakage.leaked_items([leakage.without(leakage.text_words(text), house)], items))) == leaks
+
+
+def test_reordered_parts_are_coverage():
+    """An item of sixty words cut into four parts of fifteen that stand in another order."""
+    words = [f"word{i}" for i in range(60)]
+    items = leakage.Items([7], [words])
+    parts = [words[i : i + 15] for i in range(0, 60, 15)]
+    document = [w for k in (2, 0, 3, 1) for w in (*parts[k], f"between{k}")]
+    assert list(leakage.leaked_items([["a"] * 50, document, []], items)) == [(1, 7, 15, 1.0)]
+    assert list(leakage.leaked_items([[w for k in (2, 0) for w in parts[k]]], items)) == []
+
+
+def test_candidates_against_brute_force():
+    rng = random.Random(4)
+    texts = lambda n: [[rng.choice("abcdefgh") for _ in range(rng.randrange(60))] for _ in range(n)]
+    own, documents = texts(30), texts(40)
+    items = leakage.Items(list(range(30)), own)
+    want = set()
+    for d, doc in enumerate(documents):
+        for i, item in enumerate(own):
+            seeds = {tuple(item[k : k + 3]) for k in range(len(item) - 2)}
+            hits = [k for k in range(len(doc) - 2) if tuple(doc[k : k + 3]) in seeds]
+            if any(b - a <= leakage.SEED_WINDOW for a, b in zip(hits, hits[leakage.LEAST_SEEDS - 1 :])):
+                want.add((d, i))
+    assert set(leakage.candidates(documents, items)) == want and 0 < len(want) < 1200
 
 
 def classify(model, text):
