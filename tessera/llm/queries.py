@@ -22,6 +22,7 @@ ANSWERS = ("predictions", "provider_config", "messages", "suite_cases")
 QUERIES: dict[str, Query] = {
     "p1_found": _tables("split_membership")(groups.torn_ids),
     "p1_splits": _tables("split_membership")(lambda members: groups.deal(groups.related_ids(members))),
+    "p1_forest": _tables("split_membership")(groups.forest_of),
     "p2_found": _tables("predictions", "messages", "suite_cases")(defects.broken_pairs),
     "p3_found": _tables("prompt_specs")(dedup.copies),
     "p3_distinct": _tables("prompt_specs")(dedup.distinct_texts),

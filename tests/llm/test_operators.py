@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from collections import defaultdict
+
 import duckdb
 import oracle
 import pytest
@@ -47,14 +50,55 @@ def test_long_chain_and_hub(spark):
     split = groups.deal(ids).join(ids, "id")
     assert split.groupBy("root").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
     assert split.count() == 360
-    forest = groups.spanning_forest(spark.createDataFrame([("i" + a, "d" + b) for a, b, _ in chain], "a string, b string"))
-    assert forest.edges.count() == 60 + 61 - 1 and forest.labels.select("root").distinct().count() == 1
+    forest = groups.forest_of(frame(spark, chain + hub, MEMBERS))
+    assert forest.count() == 60 + 61 - 1 + 300 and forest.where("digest LIKE '0%'").count() == 120
+
+
+@pytest.mark.parametrize("one_task", [0, 15, 10**6])
+def test_forest_against_union_find(spark, monkeypatch, one_task):
+    """Contracted by all tasks, by all and then one, by one alone: the same sets, and edges that span them."""
+    monkeypatch.setattr(groups, "ONE_TASK", one_task)
+    rng = random.Random(5)
+    pairs = [(f"a{rng.randrange(60)}", f"b{rng.randrange(60)}") for _ in range(55)] + [(f"a{i}", "hub") for i in range(60, 90)] + [(None, "b1"), ("a1", "a1")]
+    forest = groups.spanning_forest(spark.createDataFrame(pairs, "a string, b string").selectExpr("CAST(a AS binary) a", "CAST(b AS binary) b"))
+    parent: dict = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    def sets(edges):
+        parent.clear()
+        joined = sum(find(a) != find(b) and not parent.update({find(a): find(b)}) for a, b in edges)
+        out = defaultdict(set)
+        for x in list(parent):
+            out[find(x)].add(x)
+        return sorted(map(sorted, out.values())), joined
+
+    want, spanning = sets([(a, b) for a, b in pairs if a and b and a != b])
+    got = defaultdict(set)
+    for r in forest.labels.collect():
+        got[bytes(r.root)].add(bytes(r.v).decode())
+    assert sorted(map(sorted, got.values())) == want
+    chosen = [(bytes(r.a).decode(), bytes(r.b).decode()) for r in forest.edges.collect()]
+    assert sets(chosen) == (want, len(chosen)) and len(chosen) == spanning
+
+
+def shares_of(spark, rows, shares):
+    dealt = groups.deal(spark.createDataFrame(rows, "id string, root string").selectExpr("id", "CAST(root AS binary) root"), shares)
+    return {r.split: r.n / len(rows) for r in dealt.groupBy("split").agg(F.count("*").alias("n")).collect()}
 
 
 def test_deal_is_near_the_shares(spark):
-    ids = spark.range(5000).select(F.col("id").cast("string").alias("id"), (F.col("id") / 3).cast("int").cast("string").alias("root"))
-    counts = {r.split: r.n for r in groups.deal(ids).groupBy("split").agg(F.count("*").alias("n")).collect()}
-    assert abs(counts["train"] - 4000) < 60 and abs(counts["val"] - 500) < 40 and abs(counts["test"] - 500) < 40
+    small = [(str(i), str(i // 3)) for i in range(6000)]
+    for shares in ((0.8, 0.1, 0.1), (0.5, 0.25, 0.25), (0.34, 0.33, 0.33)):
+        got = shares_of(spark, small, shares)
+        assert all(abs(got[n] - s) < 0.01 for n, s in zip(groups.SPLITS, shares))
+    large = small + [(f"x{i}", f"big{i // 600}") for i in range(3000)]
+    got = shares_of(spark, large, (0.5, 0.25, 0.25))
+    assert all(abs(got[n] - s) < 0.02 for n, s in zip(groups.SPLITS, (0.5, 0.25, 0.25)))
+    assert shares_of(spark, [(f"x{i}", "all") for i in range(50)], (0.2, 0.2, 0.6)) == {"test": 1.0}
 
 
 PROMPTS = "id string, prompt string, source string"
