@@ -29,9 +29,9 @@ from tessera.runtime import cut
 LEAST_SENTENCES = 3
 #: The model is fitted on at most so many labelled documents, those of the smallest hashes; everything else covers all.
 LABELLED_DOCUMENTS = 6_000
-#: Most rounds over the labelled sample and over the corpus; they end before when the mean change of the assignments
-#: falls below SETTLED.
-LABELLED_ROUNDS, CORPUS_ROUNDS, SETTLED = 20, 3, 0.01
+#: Most rounds over the labelled sample and over the corpus. They end before, when the share of the assignments that
+#: changes, and in the corpus the share of sentences that the classes win or lose, falls below SETTLED.
+LABELLED_ROUNDS, CORPUS_ROUNDS, SETTLED = 20, 3, 0.02
 #: Share of documents in which a feature that no labelled document has must teach something to be kept: it bounds the
 #: model, as a document has few words. What labelled documents and descriptions have is kept, however rare.
 LEAST_DOCUMENT_SHARE, LEAST_DOCUMENTS = 2e-4, 3
@@ -52,29 +52,38 @@ LEAST_FURTHER = 4.0
 #: Documents that are scored at once.
 CHUNK = 1_000
 
-_SENTENCE = re.compile(r"(?<=[.!?。！？…])[\"'”’»)\]*_]*\s+|[\r\n]+")
+_SENTENCE = re.compile(r"[.!?。！？…][\"'”’»)\]*_]*\s+|[\r\n]+")
+_END = "\x00"
+_TOKEN = re.compile(r"[^\W_]+|\x00")
+_PARTED = {i: " " for i in range(1, 128) if not chr(i).isalnum()}
 _NUMBERS: dict[str, int] = {}
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
 
 
 def _number(word: str) -> int:
-    """A number of 32 bits for a word, the same everywhere; 0 is kept for the ends of sentences."""
+    """A number of 32 bits for a word, the same everywhere; 0 is the end of a sentence, 1 a number in the text."""
     if len(_NUMBERS) > 1_000_000:
         _NUMBERS.clear()
-    made = _NUMBERS[word] = zlib.crc32(word.encode("utf-8", "replace")) or 1
+    made = 0 if word == _END else 1 if word.isdigit() else max(2, zlib.crc32(word.encode("utf-8", "replace")))
+    _NUMBERS[word] = made
     return made
 
 
 def sentence_numbers(text: str | None) -> bytes:
     """The words of a text as numbers of four bytes, a zero behind each sentence or line; numbers in the text are left out."""
-    out: list[int] = []
-    look = _NUMBERS.get
-    for s in _SENTENCE.split(plain(text)) if text else ():
-        found = [look(w) or _number(w) for w in words(s) if not w.isdigit()]
-        if found:
-            out += found
-            out.append(0)
-    return np.array(out, "<u4").tobytes()
+    if not text:
+        return b""
+    text = _SENTENCE.sub(f" {_END} ", plain(text))
+    found = text.translate(_PARTED).split() if text.isascii() else _TOKEN.findall(text)
+    found.append(_END)
+    out = list(map(_NUMBERS.get, found))
+    if None in out:
+        out = [_number(w) if n is None else n for w, n in zip(found, out)]
+    numbers = np.array(out, "<u4")
+    numbers = numbers[numbers != 1]
+    # Of ends that follow one another one is kept; a text without words has none.
+    ends = numbers == 0
+    return numbers[~ends | np.append(False, ~ends[:-1])].tobytes()
 
 
 @dataclass
@@ -98,11 +107,8 @@ class Texts:
         single, pair = flat * _A, (flat[:-1] * _A + flat[1:] * _B)[near]
         keys = np.concatenate((single ^ (single >> _C), (pair ^ (pair >> _C)) * _B))
         sentence = np.concatenate((at, at[1:][near]))
-        # One feature counts once in a sentence.
-        order = np.lexsort((keys, sentence))
-        keys, sentence = keys[order], sentence[order]
-        new = np.append(True, (keys[1:] != keys[:-1]) | (sentence[1:] != sentence[:-1]))[: len(keys)]
-        return cls(keys[new], sentence[new], owner[end], len(rows))
+        order = np.argsort(sentence, kind="stable")
+        return cls(keys[order], sentence[order], owner[end], len(rows))
 
     def sums(self, rows: np.ndarray, sentence: np.ndarray) -> np.ndarray:
         """Sums of rows by sentence; `sentence` grows."""
@@ -141,14 +147,17 @@ class Counts:
     @classmethod
     def of(cls, texts: Texts, assigned: np.ndarray) -> Counts:
         """The counts of a batch: a feature has in a document the greatest part any of its sentences gives it."""
-        document = texts.document[texts.sentence]
-        order = np.lexsort((document, texts.keys))
-        keys, document = texts.keys[order], document[order]
+        # Sentences come in order of the documents, and so do those of one feature.
+        order = np.argsort(texts.keys, kind="stable")
+        keys, sentence = texts.keys[order], texts.sentence[order]
         if not len(keys):
             return cls(keys, np.zeros((0, assigned.shape[1])))
-        first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (document[1:] != document[:-1])))
-        table = np.maximum.reduceat(assigned[texts.sentence[order]].astype(np.float32), first, axis=0)
-        return cls.sum([cls(keys[first], table)], assigned.shape[1])
+        document = texts.document[sentence]
+        fresh = np.append(True, keys[1:] != keys[:-1])
+        first = np.flatnonzero(fresh | np.append(True, document[1:] != document[:-1]))
+        table = np.maximum.reduceat(assigned.astype(np.float32)[sentence], first, axis=0)
+        begin = np.flatnonzero(fresh[first])
+        return cls(keys[first][begin], np.add.reduceat(table, begin, axis=0))
 
 
 @dataclass
@@ -211,13 +220,16 @@ class Model:
         like[:, k] += lost.sum(axis=1)
         if allowed is not None:
             like[:, :k] *= allowed[texts.document]
-        shares = np.full((texts.count, k + 1), 1.0 / (k + 1))
-        for _ in range(3):
-            part = like * shares[texts.document]
-            part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
-            seen = np.zeros_like(shares)
-            np.add.at(seen, texts.document, part)
+        part = like / np.maximum(like.sum(axis=1, keepdims=True), 1e-300)
+        if not len(part):
+            return part
+        fresh = np.append(True, texts.document[1:] != texts.document[:-1])
+        first, own = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        for _ in range(2):
+            seen = np.add.reduceat(part, first, axis=0)
             shares = (seen + 0.1) / (seen.sum(axis=1, keepdims=True) + 0.1 * (k + 1))
+            part = like * shares[own]
+            part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
         return part
 
     def evidence(self, texts: Texts, found: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -422,37 +434,31 @@ def refine(model: Model, labelled: Labelled, counts: Counts, corpus: Counts) ->
 GATHERED = 3_000_000
 
 
-def _gather(shared: object, before: object | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Counts of the corpus by feature under the model; and under key 0 the sentences and what of their classes has changed since
-    the model before."""
+def _gather(shared: object) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Counts of the corpus by feature under the model; under key 0 the sentences of each class."""
 
-    def frame(parts: list[Counts], k: int, moved: float, total: int) -> pd.DataFrame:
-        counts = Counts.sum(parts, k + 1)
-        keys = np.append(counts.keys.view(np.int64), 0)
-        table = np.vstack((counts.table, [[moved, total] + [0.0] * (k - 1)]))
-        return pd.DataFrame({"f": keys} | {f"c{c}": table[:, c].astype(np.float32) for c in range(k + 1)})
+    def frame(parts: list[Counts], mass: np.ndarray) -> pd.DataFrame:
+        counts = Counts.sum(parts, len(mass))
+        table = np.vstack((counts.table, mass))
+        return pd.DataFrame({"f": np.append(counts.keys.view(np.int64), 0)} | {f"c{c}": table[:, c].astype(np.float32) for c in range(len(mass))})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model: Model = shared.value  # type: ignore[attr-defined]
-        last: Model | None = before.value if before else None  # type: ignore[attr-defined]
-        k = len(model.subjects)
         parts: list[Counts] = []
-        moved, total = 0.0, 0
+        mass = np.zeros(len(model.subjects) + 1)
         for each in frames:
             for i in range(0, len(each), CHUNK):
                 texts = Texts.of(each["numbers"].iloc[i : i + CHUNK])
-                if not len(texts.document):
-                    continue
-                assigned = model.assign(texts)
-                if last:
-                    moved, total = moved + float(abs(assigned - last.assign(texts)).sum()), total + len(assigned)
-                parts.append(Counts.of(texts, assigned))
+                if len(texts.document):
+                    assigned = model.assign(texts)
+                    mass += assigned.sum(axis=0)
+                    parts.append(Counts.of(texts, assigned))
                 if sum(len(p.keys) for p in parts) > GATHERED:
-                    parts = [Counts.sum(parts, k + 1)]
+                    parts = [Counts.sum(parts, len(mass))]
                     if len(parts[0].keys) > GATHERED // 2:
-                        yield frame(parts, k, moved, total)
-                        parts, moved, total = [], 0.0, 0
-        yield frame(parts, k, moved, total)
+                        yield frame(parts, mass)
+                        parts, mass = [], np.zeros(len(mass))
+        yield frame(parts, mass)
 
     return run
 
@@ -482,20 +488,20 @@ def train(documents: DataFrame, numbers: DataFrame, labels: DataFrame, descripti
     known = spark.createDataFrame(pd.DataFrame({"f": counts.keys.view(np.int64), "known": True}), "f long, known boolean")
     least = max(LEAST_DOCUMENTS, LEAST_DOCUMENT_SHARE * total)
     classes = [f"c{c}" for c in range(k + 1)]
-    before = None
+    before = np.zeros(k + 1)
     for _ in range(CORPUS_ROUNDS if k else 0):
         shared = spark.sparkContext.broadcast(model)
-        gathered = numbers.select("numbers").mapInPandas(_gather(shared, before), ", ".join(["f long", *(f"{c} float" for c in classes)]))
+        gathered = numbers.select("numbers").mapInPandas(_gather(shared), ", ".join(["f long", *(f"{c} float" for c in classes)]))
         summed = gathered.groupBy("f").agg(*[F.sum(c).alias(c) for c in classes])
         every = sum((F.col(c) for c in classes[1:]), F.col("c0"))
         # What no class has more than a third of tells nothing.
         tells = (every >= least) & (3 * F.greatest(*classes) >= every)
         kept = summed.join(known, "f", "left").where(tells | F.col("known") | (F.col("f") == 0)).select("f", *classes).toPandas()
-        moved = kept[kept["f"] == 0]
-        kept = kept[kept["f"] != 0].sort_values("f")
-        if before is not None and moved["c0"].sum() < SETTLED * max(1.0, moved["c1"].sum()):
+        mass = kept.loc[kept["f"] == 0, classes].to_numpy(float).sum(axis=0)
+        if abs(mass - before).sum() < SETTLED * mass.sum():
             break
-        before, model = shared, Model(model.subjects, model.fallback)
+        before, kept = mass, kept[kept["f"] != 0].sort_values("f")
+        model = Model(model.subjects, model.fallback)
         refine(model, labelled, counts, Counts(kept["f"].to_numpy(np.int64).view(np.uint64), kept[classes].to_numpy(float)))
     return model
 
