@@ -92,3 +92,20 @@ def reject_reason(rules: Sequence[tuple[str, Column]]) -> Column:
         reason = F.when(broken, name) if reason is None else reason.when(broken, name)
     assert reason is not None
     return reason
+
+
+def overlap(rows: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is protected."""
+    return rows.join(held.select(key), key, "left_semi")
+
+
+def admitted(rows: DataFrame, held: DataFrame, key: str, evaluation_only: str | None = None) -> DataFrame:
+    """Rows that training may have: their key isn't protected and they aren't marked for evaluation only. A null mark is none."""
+    free = rows if evaluation_only is None else rows.where(~F.coalesce(F.col(evaluation_only), F.lit(False)))
+    return free.join(held.select(key), key, "left_anti")
+
+
+def require_apart(rows: DataFrame, held: DataFrame, key: str) -> None:
+    """Fails if a row has a protected key."""
+    if overlap(rows, held, key).limit(1).count():
+        raise ValueError("training and evaluation have a prompt in common")

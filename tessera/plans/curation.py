@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.decode import decoded
-from tessera.functions.text import normal, ordering, prompt_group, squeeze
+from tessera.functions.text import folding_table, normal, ordering, prompt_group, squeeze
 from tessera.operators import audit, curate, evaluate, windows
 from tessera.sources.tables import table
 
@@ -29,9 +29,19 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-# White space as the engine squeezes it: Unicode's, which DuckDB's \s isn't.
-_NORMAL = r"replace(lower(trim(regexp_replace({0}, '[\s\x0b\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))), 'ß', 'ss')"
-DOCS_SQL = f"WITH docs AS (SELECT doc_id, source, lang, {_NORMAL.format('text')} AS norm, sha256({_NORMAL.format('text')}) AS grp FROM documents WHERE text IS NOT NULL)"
+def folded_sql(texts: str) -> str:
+    """CTEs that end in normed(t, norm): the normalised form of the distinct texts that the query `texts` gives as t. The
+    characters that plain lower case doesn't settle are looked up in a table made by the Unicode rules."""
+    quoted = lambda c: c.replace("'", "''")
+    table_ = ", ".join(f"('{quoted(c)}', '{quoted(f)}')" for c, f in folding_table())
+    return f"""fold(c, f) AS (VALUES {table_}),
+texts AS (SELECT DISTINCT t FROM ({texts}) WHERE t IS NOT NULL),
+parted AS (SELECT t, unnest(l) AS c, unnest(range(len(l))) AS i FROM (SELECT t, regexp_extract_all(t, '(?s).') AS l FROM texts)),
+joined AS (SELECT t, string_agg(coalesce(f, lower(c)), '' ORDER BY i) AS x FROM parted LEFT JOIN fold USING (c) GROUP BY 1),
+normed AS (SELECT t, trim(regexp_replace(nfc_normalize(coalesce(x, '')), '[\\s\\x0b\\x1c-\\x1f]+', ' ', 'g')) AS norm FROM texts LEFT JOIN joined USING (t))"""
+
+
+DOCS_SQL = "WITH " + folded_sql("SELECT text AS t FROM documents") + ", docs AS (SELECT doc_id, source, lang, norm, sha256(norm) AS grp FROM documents JOIN normed ON text = t)"
 GROUPS_SQL = DOCS_SQL + ", groups AS (SELECT DISTINCT grp FROM docs), ranked AS (SELECT grp, row_number() OVER (ORDER BY sha256('42:' || grp)) AS rank FROM groups), total AS (SELECT count(*) AS n FROM groups)"
 
 
@@ -108,48 +118,65 @@ def split_stats(spark: SparkSession, folder: str) -> DataFrame:
     return joined.groupBy("split").agg(F.count(F.lit(1)).alias("documents"), F.count_distinct("source").alias("sources"))
 
 
-# Protected lines: the sentences of the held-out items.
-HELD_SQL = f"held AS (SELECT DISTINCT {_NORMAL.format('s')} AS line FROM (SELECT unnest(string_split(text, '. ')) AS s FROM eval_items) WHERE length(s) > 20), lines AS (SELECT DISTINCT doc_id, {_NORMAL.format('s')} AS line FROM (SELECT doc_id, unnest(string_split(text, '. ')) AS s FROM documents) WHERE length(s) > 20)"
+# Prompts by their group, and the groups that evaluation holds: those of ids in val or test.
+_SPLIT = "CASE lower(regexp_replace(split, '[^\\p{L}]', '', 'g')) WHEN 'validation' THEN 'val' ELSE lower(regexp_replace(split, '[^\\p{L}]', '', 'g')) END"
+HOLDOUT_SQL = "WITH " + folded_sql("SELECT prompt AS t FROM prompt_specs") + f""", prompts AS (SELECT DISTINCT id, sha256(norm) AS grp FROM prompt_specs JOIN normed ON prompt = t WHERE id IS NOT NULL),
+listed AS (SELECT id, bool_or({_SPLIT} IN ('val', 'test')) AS held, bool_or({_SPLIT} = 'train') AS train FROM split_membership WHERE id IS NOT NULL GROUP BY 1),
+held AS (SELECT DISTINCT grp FROM prompts JOIN listed USING (id) WHERE held)"""
 
 
-def _lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    cut = lambda df, *keys: df.select(*keys, F.explode(F.split("text", r"\. ")).alias("s")).where(F.char_length("s") > 20).select(*keys, normal(F.col("s")).alias("line")).distinct()
-    return cut(table(spark, folder, "eval_items")), cut(table(spark, folder, "documents"), "doc_id")
+def _prompts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(id, grp, evaluation_only, train) of all prompts, and the groups that evaluation holds."""
+    split = F.lower(F.regexp_replace("split", r"[^\p{L}]", ""))
+    split = F.when(split == "validation", "val").otherwise(split)
+    listed = table(spark, folder, "split_membership").where("id IS NOT NULL").groupBy("id").agg(F.max(split.isin("val", "test")).alias("held"), F.max(split == "train").alias("train"))
+    prompts = table(spark, folder, "prompt_specs").where("id IS NOT NULL AND prompt IS NOT NULL").select("id", prompt_group(F.col("prompt")).alias("grp")).distinct()
+    rows = prompts.join(listed, "id", "left").select("id", "grp", F.coalesce("held", F.lit(False)).alias("evaluation_only"), F.coalesce("train", F.lit(False)).alias("train"))
+    return rows, rows.where("evaluation_only").select("grp").distinct()
 
 
-@query("holdout_overlap", f"WITH {HELD_SQL} SELECT doc_id, count(*) AS lines FROM lines WHERE line IN (SELECT line FROM held) GROUP BY 1")
+@query("holdout_overlap", HOLDOUT_SQL + " SELECT grp, count(*) AS prompts FROM prompts JOIN listed USING (id) WHERE train AND grp IN (SELECT grp FROM held) GROUP BY 1")
 def holdout_overlap(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with lines that are protected."""
-    held, lines = _lines(spark, folder)
-    return lines.join(held, "line", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
+    """Prompt groups of evaluation that training holds too, with the training prompts of each."""
+    rows, held = _prompts(spark, folder)
+    return curate.overlap(rows.where("train"), held, "grp").groupBy("grp").agg(F.count(F.lit(1)).alias("prompts"))
 
 
-@query("holdout_admitted", f"WITH {HELD_SQL} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM lines WHERE line IN (SELECT line FROM held))")
+@query("holdout_admitted", HOLDOUT_SQL + " SELECT p.id, p.grp FROM prompts p LEFT JOIN listed l USING (id) WHERE NOT coalesce(held, false) AND grp NOT IN (SELECT grp FROM held)")
 def holdout_admitted(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents without any protected line."""
-    held, lines = _lines(spark, folder)
-    return table(spark, folder, "documents").select("doc_id").join(lines.join(held, "line", "left_semi"), "doc_id", "left_anti")
+    """Prompts that may be trained on: not for evaluation only, and of no group that evaluation holds."""
+    rows, held = _prompts(spark, folder)
+    return curate.admitted(rows, held, "grp", "evaluation_only").select("id", "grp")
+
+
+# Lines on both sides: the sentences of the held-out items and of the documents.
+LINES_SQL = "held AS (SELECT DISTINCT lower(trim(s)) AS line FROM (SELECT unnest(string_split(text, '. ')) AS s FROM eval_items) WHERE trim(s) <> ''), lines AS (SELECT DISTINCT lower(trim(s)) AS line FROM (SELECT unnest(string_split(text, '. ')) AS s FROM documents) WHERE trim(s) <> '')"
+
+
+def _lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    each = lambda name: table(spark, folder, name).select(F.explode(F.split("text", r"\. ")).alias("s")).where("trim(s) <> ''").select(F.lower(F.trim("s")).alias("line")).distinct()
+    return each("eval_items"), each("documents")
 
 
-@query("set_intersect", f"WITH {HELD_SQL} SELECT line FROM held INTERSECT SELECT line FROM lines")
+@query("set_intersect", f"WITH {LINES_SQL} SELECT line FROM held INTERSECT SELECT line FROM lines")
 def set_intersect(spark: SparkSession, folder: str) -> DataFrame:
     """Lines on both sides."""
     held, lines = _lines(spark, folder)
-    return held.intersect(lines.select("line"))
+    return held.intersect(lines)
 
 
-@query("set_except", f"WITH {HELD_SQL} SELECT line FROM held EXCEPT SELECT line FROM lines")
+@query("set_except", f"WITH {LINES_SQL} SELECT line FROM held EXCEPT SELECT line FROM lines")
 def set_except(spark: SparkSession, folder: str) -> DataFrame:
-    """Protected lines that no document has."""
+    """Lines of the items that no document has."""
     held, lines = _lines(spark, folder)
-    return held.subtract(lines.select("line"))
+    return held.subtract(lines)
 
 
-@query("set_union", f"WITH {HELD_SQL} SELECT line, 'held' AS lineage FROM held UNION ALL SELECT DISTINCT line, 'corpus' FROM lines")
+@query("set_union", f"WITH {LINES_SQL} SELECT line, 'held' AS lineage FROM held UNION ALL SELECT line, 'corpus' FROM lines")
 def set_union(spark: SparkSession, folder: str) -> DataFrame:
     """Both sides with their lineage."""
     held, lines = _lines(spark, folder)
-    return held.withColumn("lineage", F.lit("held")).unionByName(lines.select("line").distinct().withColumn("lineage", F.lit("corpus")))
+    return held.withColumn("lineage", F.lit("held")).unionByName(lines.withColumn("lineage", F.lit("corpus")))
 
 
 @query("set_unique", "SELECT message_key, count(*) AS rows FROM messages GROUP BY 1 HAVING count(*) > 1")

@@ -59,7 +59,7 @@ def prompts(spark: SparkSession, path: str, most: int | None = None) -> DataFram
     require(found.where("id IS NULL OR prompt IS NULL OR trim(prompt) = ''").select("id"), "a prompt or its id is missing")
     require(found.where(F.char_length("prompt") > LIMITS["prompt"]), "a prompt is too long")
     require(found.groupBy("id").count().where("count > 1"), "an id comes twice")
-    require(found.groupBy(prompt_group(F.col("prompt"), exact=True).alias("g")).count().where("count > 1"), "a prompt comes twice")
+    require(found.groupBy(prompt_group(F.col("prompt")).alias("g")).count().where("count > 1"), "a prompt comes twice")
     return first(found, "id", most)
 
 
@@ -128,7 +128,7 @@ def protected_groups(spark: SparkSession, paths: list[str]) -> DataFrame:
     message = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]))
     rows = read_lines(spark, paths, T.StructType([T.StructField("prompt", T.StringType()), T.StructField("messages", message)]))
     asked = F.get(F.filter("messages", lambda m: m["role"] == "user"), F.lit(0))["content"]
-    return rows.select(prompt_group(F.coalesce("prompt", asked), exact=True).alias("grp")).where("grp IS NOT NULL").distinct()
+    return rows.select(prompt_group(F.coalesce("prompt", asked)).alias("grp")).where("grp IS NOT NULL").distinct()
 
 
 def replay(prompts_asked: DataFrame, stored: Mapping[str, str]) -> DataFrame:
