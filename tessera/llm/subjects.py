@@ -31,7 +31,7 @@ LEAST_SENTENCES = 3
 LABELLED_DOCUMENTS = 6_000
 #: Most rounds over the labelled sample and over the corpus. They end before, when the share of the assignments that
 #: changes, and in the corpus the share of sentences that the classes win or lose, falls below SETTLED.
-LABELLED_ROUNDS, CORPUS_ROUNDS, SETTLED = 20, 3, 0.02
+LABELLED_ROUNDS, CORPUS_ROUNDS, SETTLED = 20, 2, 0.02
 #: Share of documents in which a feature that no labelled document has must teach something to be kept: it bounds the
 #: model, as a document has few words. What labelled documents and descriptions have is kept, however rare.
 LEAST_DOCUMENT_SHARE, LEAST_DOCUMENTS = 2e-4, 3
@@ -112,7 +112,7 @@ class Texts:
 
     def sums(self, rows: np.ndarray, sentence: np.ndarray) -> np.ndarray:
         """Sums of rows by sentence; `sentence` grows."""
-        out = np.zeros((len(self.document), rows.shape[1]), np.float64)
+        out = np.zeros((len(self.document), rows.shape[1]), rows.dtype)
         if len(rows):
             first = np.flatnonzero(np.append(True, sentence[1:] != sentence[:-1]))
             out[sentence[first]] = np.add.reduceat(rows, first, axis=0)
@@ -155,7 +155,15 @@ class Counts:
         document = texts.document[sentence]
         fresh = np.append(True, keys[1:] != keys[:-1])
         first = np.flatnonzero(fresh | np.append(True, document[1:] != document[:-1]))
-        table = np.maximum.reduceat(assigned.astype(np.float32)[sentence], first, axis=0)
+        # Most features stand in one sentence of a document: only the others need a comparison.
+        table = assigned.astype(np.float32)[sentence[first]]
+        several = np.diff(np.append(first, len(sentence))) > 1
+        at = np.flatnonzero(several)
+        if len(at):
+            size = np.diff(np.append(first, len(sentence)))[at]
+            begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+            rows = np.repeat(first[at] - begin, size) + np.arange(size.sum())
+            table[at] = np.maximum.reduceat(assigned.astype(np.float32)[sentence[rows]], begin, axis=0)
         begin = np.flatnonzero(fresh[first])
         return cls(keys[first][begin], np.add.reduceat(table, begin, axis=0))
 
@@ -174,6 +182,7 @@ class Model:
     slope: np.ndarray = field(default_factory=lambda: np.zeros(0))
     level: np.ndarray = field(default_factory=lambda: np.zeros(0))
     further: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    _tells: tuple | None = None
 
     def __post_init__(self) -> None:
         k = len(self.subjects)
@@ -204,8 +213,16 @@ class Model:
 
     def treats(self, texts: Texts, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """The calibrated posterior that a sentence treats each subject, provided that it is of it."""
-        x = texts.sums(self.told[found[0]], found[1])
-        return 1 / (1 + np.exp(-(self.slope * x + self.level)))
+        tells = self.tells[found[0]]
+        x = texts.sums(self.told[found[0][tells]], found[1][tells])
+        return 1 / (1 + np.exp(-np.clip(self.slope * x + self.level, -30, 30).astype(np.float32)))
+
+    @property
+    def tells(self) -> np.ndarray:
+        """The features that are context."""
+        if self._tells is None or self._tells[0] is not self.told:
+            self._tells = (self.told, self.told.any(axis=1))
+        return self._tells[1]
 
     def assign(self, texts: Texts, allowed: np.ndarray | None = None) -> np.ndarray:
         """Soft classes of the sentences; allowed[d, c] says which subjects a document may have. The shares of a document are
