@@ -20,7 +20,7 @@ from tessera.runtime import Stored, join_unique, store
 SPLITS = ("train", "val", "test")
 SHARES = (0.8, 0.1, 0.1)
 #: Edges that one task contracts by itself; more are contracted by all tasks, round by round, until so few are left.
-ONE_TASK = 100_000
+ONE_TASK = 500_000
 #: Sets of at least this share of all ids are dealt one by one, so there are few of them.
 LARGE = 1e-3
 #: Roots of one bucket of the distributed ranking; the running totals over buckets are the only thing one task sees.
