@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,13 +105,37 @@ def _object(reader: _Reader, value: object, path: str) -> dict:
     }
 
 
+def _no_constant(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+def _overflows(value: object) -> bool:
+    todo = [value]
+    while todo:
+        value = todo.pop()
+        if isinstance(value, float) and not math.isfinite(value):
+            return True
+        todo += value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
+    return False
+
+
+def number_error(raw: str | None) -> str | None:
+    """Why the value of a JSON text can't be kept although it is JSON: one of its numbers is beyond the range of doubles. Such
+    a text keeps its literal and has no value; null for all others."""
+    try:
+        value = json.loads(raw, parse_constant=_no_constant) if raw is not None else None
+    except (ValueError, RecursionError):
+        return None
+    return "a number is beyond the range of doubles" if _overflows(value) else None
+
+
 def decode(raw: str | None) -> tuple[bool, list[Issue], dict | None]:
     """(is JSON, what is wrong, the world with defaults filled in; null if anything is wrong). A member that comes twice has
-    its last value; numbers beyond the range of doubles and names of no number in JSON are no numbers of the schema."""
+    its last value; NaN and the infinities are no JSON; numbers beyond the range of doubles are none of the schema."""
     if raw is None:
         return False, [("json_invalid", "", "there is no text")], None
     try:
-        value = json.loads(raw)
+        value = json.loads(raw, parse_constant=_no_constant)
     except (ValueError, RecursionError) as reason:
         return False, [("json_invalid", "", str(reason)[:200])], None
     reader = _Reader()
@@ -148,6 +172,12 @@ def strict_decode(raws: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["json_ok", "schema_issues", "world"])
 
 
+@F.pandas_udf(T.StringType())
+def number_errors(raws: pd.Series) -> pd.Series:
+    """number_error() of raw documents."""
+    return raws.map(number_error)
+
+
 def decoded(rows: DataFrame, column: str) -> DataFrame:
     """The rows with json_ok, schema_ok, schema_issues and world."""
     made = rows.withColumn("_d", strict_decode(F.col(column)))
@@ -184,3 +214,32 @@ def fingerprint(world: Column) -> Column:
     return F.sha2(canonical(world.dropFields("scene")), 256)
 
 
+def document(world: Column) -> Column:
+    """A world as the text of a document, in the form that is decoded: positions and sizes as pairs, defaults written out."""
+    thing = lambda o: F.struct(
+        o["object_type"].alias("object_type"), o["id"].alias("id"), F.array(o["x"], o["y"]).alias("position"),
+        F.struct(F.array(o["w"], o["h"]).alias("size"), o["style"].alias("style"), o["material"].alias("material"), o["tags"].alias("tags")).alias("attributes"),
+    )
+    made = F.struct(world["schema_version"].alias("schema_version"), world["scene"].alias("scene"), world["map"].alias("map"), F.transform(world["objects"], thing).alias("objects"), world["relations"].alias("relations"))
+    return F.when(world.isNotNull(), F.to_json(made, {"ignoreNullFields": "false"}))
+
+
+def same_content(a: Column, b: Column) -> Column:
+    """Two decoded worlds are equal in everything, defaults filled in; two nulls are."""
+    return canonical(a).eqNullSafe(canonical(b))
+
+
+def schema() -> dict:
+    """The schema of a document for other programs: every member with its type and limits."""
+    limits = domain.LIMITS
+    whole = lambda low, high: {"type": "integer", "minimum": low, "maximum": high}
+    pair = lambda low, high: {"type": "array", "items": whole(low, high), "minItems": 2, "maxItems": 2}
+    name = {"type": "string", "pattern": domain.IDENTIFIER.replace(r"\A", "^").replace(r"\z", "$")}
+    of = lambda members, required=(): {"type": "object", "properties": members, "required": list(required), "additionalProperties": False}
+    text = {"type": ["string", "null"], "maxLength": limits["style"]}
+    about = of({"size": pair(1, limits["extent"]), "style": text, "material": text, "tags": {"type": "array", "items": {"type": "string", "maxLength": limits["tag"]}, "maxItems": limits["tags"]}})
+    thing = of({"object_type": {"enum": list(domain.OBJECT_TYPES)}, "id": name, "position": pair(0, limits["coordinate"]), "attributes": about}, ("object_type", "id", "position"))
+    edge = of({"relation_type": {"enum": list(domain.RELATION_TYPES)}, "source": name, "target": name}, ("relation_type", "source", "target"))
+    side = whole(limits["least_side"], limits["extent"])
+    board = of({"width": side, "height": side, "biome": {"enum": list(domain.BIOMES)}})
+    return of({"schema_version": {"const": domain.SCHEMA_VERSION}, "scene": name, "map": board, "objects": {"type": "array", "items": thing, "minItems": 1, "maxItems": limits["objects"]}, "relations": {"type": "array", "items": edge, "maxItems": limits["relations"]}}, ("scene", "objects"))

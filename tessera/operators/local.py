@@ -32,10 +32,15 @@ def _resolved(edge: Column, objects: Column) -> Column:
     return F.struct(edge["pos"].alias("pos"), edge["relation_type"].alias("kind"), edge["source"].alias("source"), edge["target"].alias("target"), key.alias("key"), last(edge["source"]).alias("s"), last(edge["target"]).alias("t"))
 
 
-def with_issues(worlds: DataFrame) -> DataFrame:
+OBJECT_CODES = frozenset(("duplicate_id", "out_of_bounds"))
+EDGE_CODES = frozenset(("duplicate_relation", "self_relation", "missing_reference", "not_near", "not_inside", "not_connected"))
+PAIR_CODES = frozenset(("overlap", "blocked_entity"))
+
+
+def with_issues(worlds: DataFrame, codes: frozenset[str] = OBJECT_CODES | EDGE_CODES | PAIR_CODES) -> DataFrame:
     """worlds(world, width, height, objects, relations) with issues, an array of (pos, code). An object has pos, id, kind, x,
     y, r, b, layer; a relation pos, relation_type, source, target. A missing array counts as empty, a missing size as no
-    bound."""
+    bound. Only the rules of the wanted codes are computed."""
     objects, edges = F.col("objects"), F.col("_edges")
     rows = worlds.withColumn("objects", F.coalesce("objects", F.array().cast(worlds.schema["objects"].dataType)))
     rows = rows.withColumn("_edges", F.transform(F.coalesce("relations", F.array().cast(worlds.schema["relations"].dataType)), lambda e: _resolved(e, F.col("objects"))))
@@ -47,7 +52,8 @@ def with_issues(worlds: DataFrame) -> DataFrame:
     def of_object(o: Column, i: Column) -> Column:
         again = F.exists(F.slice(objects, F.lit(1), i), lambda p: p["id"] == o["id"])
         outside = (o["r"] > F.col("width")) | (o["b"] > F.col("height"))
-        return F.array_compact(F.array(F.when(again, _issue(o["pos"], "duplicate_id")), F.when(outside, _issue(o["pos"], "out_of_bounds"))))
+        rules = [F.when(broken, _issue(o["pos"], code)) for code, broken in (("duplicate_id", again), ("out_of_bounds", outside)) if code in codes]
+        return F.array_compact(F.array(*rules))
 
     def of_edge(e: Column, i: Column) -> Column:
         repeated = F.exists(F.slice(edges, F.lit(1), i), lambda p: p["key"] == e["key"])
@@ -59,25 +65,30 @@ def with_issues(worlds: DataFrame) -> DataFrame:
             .when((e["kind"] == "inside") & ~inside(e), "not_inside")
             .when((e["kind"] == "connected_to") & ~shares_edge(s, t), "not_connected")
         )
-        return F.array_compact(F.array(F.when(repeated, _issue(e["pos"], "duplicate_relation")), F.when(broken.isNotNull(), _issue(e["pos"], broken))))
+        rules = [F.when(repeated, _issue(e["pos"], "duplicate_relation"))] if "duplicate_relation" in codes else []
+        if codes & EDGE_CODES - {"duplicate_relation"}:
+            rules.append(F.when(broken.isin(*sorted(codes)), _issue(e["pos"], broken)))
+        return F.array_compact(F.array(*rules))
 
     def of_pair(a: Column, b: Column) -> Column:
         # Layers 1 and 2 together; ground, 0, blocks nothing.
         blocked = (a["layer"] + b["layer"] == 3) & (a["layer"] != 0) & (b["layer"] != 0) & (a["kind"] != "bridge") & (b["kind"] != "bridge")
         code = F.when(a["layer"] == b["layer"], "overlap").when(blocked, "blocked_entity")
         free = ~F.array_contains("_held", _key(a["id"], b["id"]))
-        return F.when(overlaps(Box(a), Box(b)) & code.isNotNull() & free, _issue(a["pos"], code))
+        return F.when(overlaps(Box(a), Box(b)) & code.isin(*sorted(codes)) & free, _issue(a["pos"], code))
 
     def pairs_of(a: Column, i: Column) -> Column:
         return F.array_compact(F.transform(F.slice(objects, i + 2, F.size(objects)), lambda b: of_pair(a, b)))
 
-    found = F.concat(F.flatten(F.transform(objects, of_object)), F.flatten(F.transform(edges, of_edge)), F.flatten(F.transform(objects, pairs_of)))
+    parts = [(OBJECT_CODES, objects, of_object), (EDGE_CODES, edges, of_edge), (PAIR_CODES, objects, pairs_of)]
+    found = F.concat(*[F.flatten(F.transform(column, rule)) for own, column, rule in parts if codes & own])
     return rows.withColumn("issues", found).drop("_edges", "_held")
 
 
-def issues(worlds: DataFrame) -> DataFrame:
-    """(world, pos, code): every issue of every world."""
-    return with_issues(worlds).select("world", F.inline("issues"))
+def issues(worlds: DataFrame, *codes: str) -> DataFrame:
+    """(world, pos, code): every issue of every world, or those of the given codes."""
+    made = with_issues(worlds, frozenset(codes)) if codes else with_issues(worlds)
+    return made.select("world", F.inline("issues"))
 
 
 def histogram(worlds: DataFrame, name: str, by: Callable[[Column], Column] = lambda code: code) -> DataFrame:

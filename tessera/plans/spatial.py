@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.domain import NEAR_TILES, OBJECT_TYPES, RELATION_TYPES
-from tessera.operators import expect, local, score, stats, validate, views
+from tessera.operators import curate, expect, local, score, stats, validate, views
 from tessera.operators.geometry import Box, contains, distance, edge_valid, in_bounds, overlaps, same_bounds, shares_edge, touches_border
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,7 +89,7 @@ def geo_edge_valid(spark: SparkSession, folder: str) -> DataFrame:
 
 def _code_query(code: str) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return _issues(spark, folder).where(F.col("code") == code).groupBy("world").agg(F.count(F.lit(1)).alias("issues"))
+        return local.issues(views.worlds(spark, folder), code).groupBy("world").agg(F.count(F.lit(1)).alias("issues"))
 
     run.__doc__ = f"Worlds with the issue {code} and how often."
     query(f"val_{code}", WITH + ISSUES_SQL + f"SELECT world, count(*) AS issues FROM issues WHERE code = '{code}' GROUP BY 1")(run)
@@ -154,7 +154,7 @@ def val_repair_hints(spark: SparkSession, folder: str) -> DataFrame:
 # Expectations: a world wants as many objects of its first object's type as its order has lines, a map, and two relations.
 WANTED_SQL = """, wanted AS (SELECT world, kind, CAST(1 + world % 3 AS BIGINT) AS expected FROM objects WHERE pos = 1),
 wanted_relations AS (SELECT world, unnest(['near','inside','connected_to']) AS kind, CAST(1 + world % 2 AS BIGINT) AS minimum FROM maps),
-wanted_map AS (SELECT world, CAST(24 + 8 * (world % 2) AS INTEGER) AS width, 20 AS height FROM maps)
+wanted_map AS (SELECT world, CAST(24 + 8 * (world % 2) AS INTEGER) AS width, 20 AS height, CASE WHEN world % 2 = 0 THEN 'forest' ELSE biome END AS biome FROM maps)
 """
 
 
@@ -162,7 +162,8 @@ def _wanted(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Dat
     first = views.objects(spark, folder).where("pos = 1").select("world", "kind", (1 + F.col("world") % 3).alias("expected"))
     worlds = views.maps(spark, folder).select("world")
     edges = worlds.select("world", F.explode(F.array(*[F.lit(r) for r in RELATION_TYPES])).alias("kind"), (1 + F.col("world") % 2).alias("minimum"))
-    return first, edges, worlds.select("world", (24 + 8 * (F.col("world") % 2)).cast("int").alias("width"), F.lit(20).alias("height"))
+    biome = F.when(F.col("world") % 2 == 0, "forest").otherwise(F.col("biome"))
+    return first, edges, views.maps(spark, folder).select("world", (24 + 8 * (F.col("world") % 2)).cast("int").alias("width"), F.lit(20).alias("height"), biome.alias("biome"))
 
 
 @query("exp_object_count", WITH + WANTED_SQL + "SELECT w.world, w.kind, w.expected, count(o.id) AS actual FROM wanted w LEFT JOIN objects o ON w.world = o.world AND w.kind = o.kind GROUP BY 1, 2, 3 HAVING count(o.id) <> w.expected")
@@ -177,19 +178,106 @@ def exp_relation_count(spark: SparkSession, folder: str) -> DataFrame:
     return expect.relation_count(views.relations(views.objects(spark, folder)), _wanted(spark, folder)[1])
 
 
-@query("exp_map_mismatch", WITH + WANTED_SQL + "SELECT m.world, m.width, m.height, w.width AS wanted_width, w.height AS wanted_height FROM maps m JOIN wanted_map w ON m.world = w.world WHERE m.width <> w.width OR m.height <> w.height")
+@query("exp_map_mismatch", WITH + WANTED_SQL + "SELECT m.world, m.width, m.height, m.biome, w.width AS wanted_width, w.height AS wanted_height, w.biome AS wanted_biome FROM maps m JOIN wanted_map w ON m.world = w.world WHERE m.width <> w.width OR m.height <> w.height OR m.biome <> w.biome")
 def exp_map_mismatch(spark: SparkSession, folder: str) -> DataFrame:
     """Worlds whose map is not the wanted one."""
     return expect.map_mismatch(views.maps(spark, folder), _wanted(spark, folder)[2])
 
 
-@query("exp_required_objects", WITH + ", needed AS (SELECT world, id, ['house','tree','river'][CAST(world % 3 AS INTEGER) + 1] AS kind, w, h FROM objects WHERE pos <= 2), ends AS (SELECT world, id, arg_max(kind, pos) AS kind, arg_max(w, pos) AS w, arg_max(h, pos) AS h FROM objects GROUP BY 1, 2) SELECT n.world, n.id, count(*) FILTER (e.kind <> n.kind) AS wrong_type, count(*) FILTER (e.w <> n.w OR e.h <> n.h) AS wrong_size FROM needed n JOIN ends e ON n.world = e.world AND n.id = e.id GROUP BY 1, 2 HAVING count(*) FILTER (e.kind <> n.kind OR e.w <> n.w OR e.h <> n.h) > 0")
-def exp_required_objects(spark: SparkSession, folder: str) -> DataFrame:
-    """Required objects that are there with another type or size."""
-    things = views.objects(spark, folder)
+# Tasks: in two worlds of three, the first two objects are required, in every fifth world one more that no world has.
+TASK_SQL = """, needed AS (SELECT world, id, ['house','tree','river'][CAST(world % 3 AS INTEGER) + 1] AS kind, w, h FROM objects WHERE pos <= 2 AND world % 3 > 0
+  UNION ALL SELECT world, 'o_98', 'house', 1, 1 FROM maps WHERE world % 3 > 0 AND world % 5 = 0),
+ends AS (SELECT world, id, arg_max(kind, pos) AS kind, arg_max(w, pos) AS w, arg_max(h, pos) AS h FROM objects GROUP BY 1, 2),
+required_wrong AS (SELECT n.world, n.id, count(*) FILTER (e.id IS NULL) AS absent, count(*) FILTER (e.kind <> n.kind) AS wrong_type, count(*) FILTER (e.w <> n.w OR e.h <> n.h) AS wrong_size
+  FROM needed n LEFT JOIN ends e ON n.world = e.world AND n.id = e.id GROUP BY 1, 2 HAVING count(*) FILTER (e.id IS NULL OR e.kind <> n.kind OR e.w <> n.w OR e.h <> n.h) > 0),
+id_sides AS (SELECT coalesce(n.world, o.world) AS world, n.id AS wanted, o.id AS there FROM (SELECT DISTINCT world, id FROM needed) n
+  FULL JOIN (SELECT DISTINCT world, id FROM objects WHERE world IN (SELECT world FROM needed)) o ON n.world = o.world AND n.id = o.id),
+id_sets AS (SELECT world, count(*) FILTER (there IS NULL) AS missing, count(*) FILTER (wanted IS NULL) AS surplus FROM id_sides GROUP BY 1 HAVING count(*) FILTER (there IS NULL OR wanted IS NULL) > 0),
+off AS (SELECT o.world, o.id FROM objects o JOIN maps m ON o.world = m.world WHERE o.pos = 1 AND o.world IN (SELECT world FROM needed) AND NOT (o.x = 0 OR o.y = 0 OR o.r = m.width OR o.b = m.height)),
+task_errors AS (SELECT world, 'inventory' AS "constraint", count(*) AS errors FROM id_sets GROUP BY 1 UNION ALL SELECT world, 'required_object', count(*) FROM required_wrong GROUP BY 1 UNION ALL SELECT world, 'boundary', count(*) FROM off GROUP BY 1),
+unmet AS (SELECT w.world FROM wanted w LEFT JOIN objects o ON w.world = o.world AND w.kind = o.kind GROUP BY w.world, w.kind, w.expected HAVING count(o.id) <> w.expected),
+outcomes AS (SELECT m.world, CASE WHEN m.world IN (SELECT world FROM needed) THEN m.world NOT IN (SELECT world FROM unmet) AND m.world NOT IN (SELECT world FROM task_errors) END AS task_pass FROM maps m)
+"""
+
+
+def _needed(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.element_at(F.array(*[F.lit(k) for k in OBJECT_TYPES[:3]]), (F.col("world") % 3 + 1).cast("int"))
-    needed = things.where("pos <= 2").select("world", "id", kind.alias("kind"), "w", "h")
-    return expect.required_objects(things, needed).groupBy("world", "id").agg(F.sum("wrong_type").alias("wrong_type"), F.sum("wrong_size").alias("wrong_size"))
+    first = views.objects(spark, folder).where("pos <= 2 AND world % 3 > 0").select("world", "id", kind.alias("kind"), "w", "h")
+    ghost = views.maps(spark, folder).where("world % 3 > 0 AND world % 5 = 0").select("world", F.lit("o_98").alias("id"), F.lit("house").alias("kind"), F.lit(1).alias("w"), F.lit(1).alias("h"))
+    return first.unionByName(ghost)
+
+
+def _task_errors(spark: SparkSession, folder: str) -> DataFrame:
+    things, needed = views.objects(spark, folder), _needed(spark, folder)
+    off = expect.off_border(things.where("pos = 1").join(needed.select("world").distinct(), "world", "left_semi"), views.maps(spark, folder))
+    return expect.task_errors(("inventory", expect.inventory_differs(things, needed)), ("required_object", expect.required_objects(things, needed).select("world", "id").distinct()), ("boundary", off))
+
+
+def _task_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    unmet = exp_object_count(spark, folder).select("world").distinct().withColumn("unmet", F.lit(True))
+    worlds = views.maps(spark, folder).select("world").join(unmet, "world", "left").select("world", F.col("unmet").isNull().alias("expectations_pass"))
+    return expect.task_outcomes(worlds, _needed(spark, folder), _task_errors(spark, folder))
+
+
+@query("exp_required_objects", WITH + WANTED_SQL + TASK_SQL + "SELECT * FROM required_wrong")
+def exp_required_objects(spark: SparkSession, folder: str) -> DataFrame:
+    """Required objects that are absent, or there with another type or size."""
+    wrong = expect.required_objects(views.objects(spark, folder), _needed(spark, folder))
+    return wrong.groupBy("world", "id").agg(*[F.sum(c).alias(c) for c in ("absent", "wrong_type", "wrong_size")])
+
+
+@query("exp_inventory", WITH + WANTED_SQL + TASK_SQL + "SELECT * FROM id_sets")
+def exp_inventory(spark: SparkSession, folder: str) -> DataFrame:
+    """Worlds whose ids are not the required ones, with the numbers missing and beyond."""
+    return expect.inventory_differs(views.objects(spark, folder), _needed(spark, folder))
+
+
+@query("exp_task_errors", WITH + WANTED_SQL + TASK_SQL + 'SELECT "constraint", count(*) AS worlds, CAST(sum(errors) AS BIGINT) AS errors FROM task_errors GROUP BY 1')
+def exp_task_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Task constraints that are broken: worlds and errors of each."""
+    return _task_errors(spark, folder).groupBy("constraint").agg(F.count(F.lit(1)).alias("worlds"), F.sum("errors").alias("errors"))
+
+
+@query("exp_task_pass", WITH + WANTED_SQL + TASK_SQL + "SELECT world, CASE WHEN task_pass THEN 'passed' WHEN NOT task_pass THEN 'failed' ELSE 'not applicable' END AS outcome FROM outcomes")
+def exp_task_pass(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each world passes its task; not applicable where it has none."""
+    passed = F.col("task_pass")
+    return _task_outcomes(spark, folder).select("world", F.when(passed, "passed").when(~passed, "failed").otherwise("not applicable").alias("outcome"))
+
+
+@query("exp_task_rate", WITH + WANTED_SQL + TASK_SQL + "SELECT count(*) AS worlds, count(task_pass) AS annotated, count(*) FILTER (task_pass) AS passed, round(avg(CAST(task_pass AS INTEGER)), 6) AS task_pass_rate FROM outcomes")
+def exp_task_rate(spark: SparkSession, folder: str) -> DataFrame:
+    """The rate of passed tasks, over annotated worlds only."""
+    return _task_outcomes(spark, folder).agg(F.count(F.lit(1)).alias("worlds"), F.count("task_pass").alias("annotated"), F.count_if("task_pass").alias("passed"), F.round(F.avg(F.col("task_pass").cast("int")), 6).alias("task_pass_rate"))
+
+
+@query("exp_scenario_mismatches", WITH + WANTED_SQL + ", each AS (SELECT w.world, w.kind, w.expected, count(o.id) AS actual FROM wanted w LEFT JOIN objects o ON w.world = o.world AND w.kind = o.kind GROUP BY 1, 2, 3 HAVING count(o.id) <> w.expected) SELECT world, '{' || string_agg('\"' || kind || '\":{\"expected\":' || expected || ',\"actual\":' || actual || '}', ',' ORDER BY kind) || '}' AS mismatches FROM each GROUP BY 1")
+def exp_scenario_mismatches(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each world that misses its counts, the types with the expected and the actual number, as JSON."""
+    made = expect.mismatch_map(exp_object_count(spark, folder))
+    return made.select("world", F.to_json("mismatches").alias("mismatches"))
+
+
+@query("stat_failure_reasons", WITH + ISSUES_SQL + "SELECT code AS reason, count(DISTINCT world) AS samples FROM issues GROUP BY 1 UNION ALL SELECT 'interrupted', count(DISTINCT world) FROM objects WHERE world NOT IN (SELECT world FROM issues) AND world % 11 = 0 HAVING count(*) > 0")
+def stat_failure_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """Samples by each distinct reason they failed for; a failed one without a code (here: every eleventh) was interrupted."""
+    from tessera.sources import runs
+
+    codes = local.with_issues(views.worlds(spark, folder)).select("world", F.col("issues.code").alias("codes"))
+    status = F.when((F.size("codes") == 0) & (F.col("world") % 11 > 0), "success").when(F.size("codes") > 0, "invalid_spatial")
+    reasons = codes.select(F.explode(runs.failure_reasons(status, F.col("codes"))).alias("reason"))
+    return reasons.groupBy("reason").agg(F.count(F.lit(1)).alias("samples"))
+
+
+KNOWN_SQL = WITH + ", content AS (SELECT world, sha256(string_agg(kind || ':' || w || 'x' || h, ',' ORDER BY pos)) AS fingerprint FROM objects GROUP BY 1) SELECT world, fingerprint FROM content WHERE world % 4 > 0 AND fingerprint NOT IN (SELECT fingerprint FROM content WHERE world % 4 = 0)"
+
+
+@query("known_excluded", KNOWN_SQL)
+def known_excluded(spark: SparkSession, folder: str) -> DataFrame:
+    """Worlds whose content (here: types and sizes in their order) is none of the known ones (here: every fourth)."""
+    text = F.array_join(F.transform("objects", lambda o: F.concat(o["kind"], F.lit(":"), o["r"] - o["x"], F.lit("x"), o["b"] - o["y"])), ",")
+    content = views.worlds(spark, folder).where("objects IS NOT NULL").select("world", F.sha2(text, 256).alias("fingerprint"))
+    return curate.admitted(content.where("world % 4 > 0"), content.where("world % 4 = 0"), "fingerprint").select("world", "fingerprint")
 
 
 @query("exp_missing_edges", WITH + ISSUES_SQL + ", needed AS (SELECT DISTINCT world, relation_type, CASE WHEN relation_type = 'inside' THEN target ELSE least(source, target) END AS key_a, CASE WHEN relation_type = 'inside' THEN source ELSE greatest(source, target) END AS key_b FROM chain WHERE target IS NOT NULL) SELECT n.* FROM needed n WHERE NOT EXISTS (SELECT 1 FROM keyed k WHERE k.world = n.world AND k.relation_type = n.relation_type AND k.key_a = n.key_a AND k.key_b = n.key_b)")

@@ -96,11 +96,11 @@ def scenarios(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_records(spark: SparkSession, root: str, name: str = "record.json") -> DataFrame:
-    """(path, record, reason): one row for each run directory under root, in no order; unreadable records keep their row
-    with a reason."""
+    """(path, record, reason): one row for each run directory under root, in order of the paths; unreadable records keep
+    their row with a reason."""
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root)
     rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("record"))
-    return rows.withColumn("reason", F.when(F.try_parse_json("record").isNull(), "the record can't be read"))
+    return rows.withColumn("reason", F.when(F.try_parse_json("record").isNull(), "the record can't be read")).orderBy("path")
 
 
 def snapshot(log: DataFrame, most: int = -1) -> DataFrame:
@@ -110,15 +110,20 @@ def snapshot(log: DataFrame, most: int = -1) -> DataFrame:
     return latest.orderBy("seq") if most == -1 else first(latest, "seq", most)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system the path names."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
 def resolve(spark: SparkSession, root: str) -> DataFrame:
     """The records under root, from a state log, run directories or a file of valid samples, whichever is there first; as
     (origin, record) with the record as JSON text."""
-    folder = Path(root.removeprefix("file://"))
-    if (folder / "samples").exists():
+    if exists(spark, f"{root}/samples"):
         return snapshot(spark.read.parquet(f"{root}/samples")).select(F.lit("samples").alias("origin"), F.col("result").alias("record"))
-    if (folder / "runs").exists():
+    if exists(spark, f"{root}/runs"):
         return run_records(spark, f"{root}/runs").where("reason IS NULL").select(F.lit("runs").alias("origin"), "record")
-    if (folder / "valid.jsonl").exists():
+    if exists(spark, f"{root}/valid.jsonl"):
         return spark.read.option("lineSep", "\n").text(f"{root}/valid.jsonl").select(F.lit("valid").alias("origin"), F.col("value").alias("record"))
     raise ValueError(f"no records are known under {root}")
 
@@ -132,10 +137,10 @@ def protected_groups(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def replay(prompts_asked: DataFrame, stored: Mapping[str, str]) -> DataFrame:
-    """prompts_asked with the stored answer of exactly this prompt; one without answer is an error. The answers are an
-    argument, so their table is as small as the program's own text."""
+    """prompts_asked with the stored answer of exactly this prompt; one without answer is an error. The planner decides by
+    the answers' size how they are joined."""
     answers = prompts_asked.sparkSession.createDataFrame(list(stored.items()) or [], "prompt string, answer string")
-    joined = prompts_asked.join(F.broadcast(answers), "prompt", "left")
+    joined = prompts_asked.join(answers, "prompt", "left")
     require(joined.where("answer IS NULL"), "a prompt has no stored answer")
     return joined
 
@@ -169,7 +174,7 @@ def load_world(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_world(worlds: DataFrame, path: str) -> None:
-    """Worlds as JSON text, defaults written out."""
-    from tessera.functions.decode import canonical
+    """Worlds as documents, one a line, defaults written out; what load_world() reads."""
+    from tessera.functions.decode import document
 
-    worlds.where("world IS NOT NULL").select(canonical(F.col("world")).alias("value")).write.text(path)
+    worlds.where("world IS NOT NULL").select(document(F.col("world")).alias("value")).write.text(path)
