@@ -51,6 +51,8 @@ def test_world_file(spark, tmp_path):
     assert [i.code for i in made.first().issues] == ["out_of_bounds"]
     documents.save_world(made, str(tmp_path / "out"))
     again = spark.read.text(str(tmp_path / "out")).first().value
+    back = documents.load_world(spark, str(tmp_path / "out"))
+    assert back.select("world", "issues").collect() == made.select("world", "issues").collect() and back.first().schema_ok
     assert json.loads(again)["map"] == {"width": 32, "height": 24, "biome": "forest"}
 
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import random
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.functions.text import normal, normal_exact, ordering
+from tessera.functions.decode import decoded
+from tessera.functions.text import fold, folding_table, normal, ordering
 from tessera.operators import audit, curate, evaluate, generate, nested, windows
 from tessera.runtime import join_unique
 from tessera.sources import documents, runs, sinks
@@ -58,9 +61,13 @@ def test_first_wins(spark):
 
 
 def test_normal_forms(spark):
-    rows = spark.createDataFrame([("  Große  Straße\n",), ("ABC",), (None,)], "t string")
-    got = rows.select(normal(F.col("t")).alias("a"), normal_exact("t").alias("b")).collect()
-    assert [r.a for r in got] == [r.b for r in got] == ["grosse strasse", "abc", None]
+    texts = ["  Große  Straße\n", "ABC", "ＡＢＣ １２", "ﬁne\u2003Ⅳ", "e\u0301té", "ΣΑΣ", "\x1ca\x1f b", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.a for r in rows.select(normal(F.col("t")).alias("a")).collect()]
+    assert got == [fold(t) for t in texts] and got[:5] == ["grosse strasse", "abc", "abc 12", "fine iv", "été"]
+    table = dict(folding_table())
+    by_table = lambda t: " ".join(unicodedata.normalize("NFC", "".join(table.get(c, c.lower()) for c in t)).split())
+    assert [by_table(t) for t in texts[:-1]] == got[:-1]
 
 
 @pytest.mark.parametrize(("length", "start", "size", "overlap"), [(40, 10, 128, 32), (300, 90, 128, 32), (800, 250, 128, 32), (500, 128, 128, 32), (700, 512, 128, 32), (129, 1, 128, 127)])
@@ -74,7 +81,14 @@ def test_windows_label_each_answer_token_once(spark, length, start, size, overla
 
 def test_windows_refuse_bad_rows(spark):
     rows = spark.createDataFrame([([1, 2], 0), ([1, 2], 2), ([], 1), (None, 1)], "ids array<int>, start int")
-    assert windows.assistant_windows(rows, "ids", "start", F.lit(8), F.lit(2)).count() == 0
+    kept = windows.assistant_windows(rows, "ids", "start", F.lit(8), F.lit(2), strict=False).collect()
+    assert [r.error for r in kept] == ["the answer doesn't begin within the tokens"] * 4 and all(r.input_ids is None and r.window is None for r in kept)
+    with pytest.raises(Exception, match="doesn't begin"):
+        windows.assistant_windows(rows, "ids", "start", F.lit(8), F.lit(2)).collect()
+    long = spark.createDataFrame([(list(range(20)), 3)], "ids array<int>, start int")
+    errors = lambda *a: [r.error for r in windows.assistant_windows(long, "ids", "start", *map(F.lit, a), strict=False).collect()]
+    assert errors(8, 2, "error") == ["the sequence is longer than a window"] and errors(20, 2, "error") == [None]
+    assert errors(8, 8, "error")[0].startswith("the overlap") and errors(8, 2, "x") == ["the policy is unknown"] and errors(8, 2, "chunk_assistant") == [None] * 3
     padded = spark.createDataFrame([([1, 2],)], "ids array<int>").select(windows.padded("ids", F.lit(4), 0).alias("p"))
     assert padded.first().p == [1, 2, 0, 0]
 
@@ -121,9 +135,22 @@ def test_join_with_hot_key(spark, monkeypatch):
     left = spark.range(1000).select(F.when(F.col("id") < 400, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
     right = left.select("k").distinct().withColumn("v", F.length("k"))
     keys = runtime.hot_keys(left, "k", 1000, 100)
-    assert keys == ["hot"]
-    monkeypatch.setattr(runtime, "hot_keys", lambda *a: keys)
+    assert [tuple(r) for r in keys.collect()] == [("hot", runtime.SALTS)] and runtime.hot_keys(left, "k", 100, 100) is None
+    hot = runtime.hot_keys
+    monkeypatch.setattr(runtime, "hot_keys", lambda df, key, total: hot(df, key, total, 100))
     assert join_unique(left, right, "k", 1000).count() == 1000
+    monkeypatch.setattr(runtime, "MOST_NAMED", 0)
+    assert join_unique(left, right, "k", 1000).count() == 1000
+    assert join_unique(left, right.where("v > 3"), "k", 1000, "left").where("v IS NULL").count() == 1000 - left.where("length(k) > 3").count()
+
+
+def test_stored_tables(spark):
+    import tessera.runtime as runtime
+
+    kept = runtime.store(spark.range(5), "five")
+    assert kept.rows == 5 and sorted(r["id"] for r in runtime.read_folder(kept.folder)) == [0, 1, 2, 3, 4]
+    kept.drop()
+    assert not documents.exists(spark, kept.folder)
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -144,7 +171,7 @@ def test_sources_and_sinks(spark, tmp_path):
     for n in ("run_2", "run_1"):
         (tmp_path / "runs" / n).mkdir(parents=True)
         (tmp_path / "runs" / n / "record.json").write_text('{"x": 1}' if n == "run_1" else "{")
-    assert sorted(str(r.reason) for r in documents.run_records(spark, str(tmp_path / "runs")).collect()) == ["None", "the record can't be read"]
+    assert [str(r.reason) for r in documents.run_records(spark, str(tmp_path / "runs")).collect()] == ["None", "the record can't be read"]
     assert documents.resolve(spark, str(tmp_path)).count() == 1
     (tmp_path / "base.json").write_text('{"a": {"x": 1, "y": 2}, "b": 1}')
     (tmp_path / "own.json").write_text('{"extends": "base.json", "a": {"y": 3}}')
@@ -197,9 +224,26 @@ def test_generators(spark):
     with pytest.raises(ValueError):
         generate.inventory(spark, 0, 1)
     made = generate.tasks(spark, 9, 5)
-    assert made.where("witness IS NOT NULL").count() == 9 and {tuple(r) for r in made.collect()} == {tuple(r) for r in generate.tasks(spark, 9, 5).repartition(3).collect()}
+    same = lambda df: sorted(map(str, df.collect()))
+    assert made.where("witness IS NOT NULL").count() == 9 and same(made) == same(generate.tasks(spark, 9, 5).repartition(3))
+    assert {(r.difficulty, r.objects, r.relations) for r in made.collect()} == {("easy", 3, 1), ("medium", 5, 2), ("hard", 9, 3)}
+    frozen = generate.benchmark(spark, 20, 1)
+    assert {r.difficulty: r.n for r in frozen.groupBy("difficulty").agg(F.count("*").alias("n")).collect()} == {"easy": 6, "medium": 8, "hard": 6}
+    assert decoded(frozen, "witness").where("schema_ok").count() == 20
     rows = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "x"), (4, "c", "y")], "n int, g string, f string")
     assert sorted(r.n for r in generate.greedy_distinct(rows, "n", ("g", "f")).collect()) == [1, 4]
+    rng = random.Random(2)
+    many = [(i, f"g{rng.randrange(40)}", rng.choice([None, *(f"f{j}" for j in range(40))])) for i in range(200)]
+    seen, want = (set(), set()), []
+    for i, g, f in many:
+        if g not in seen[0] and f not in seen[1]:
+            want.append(i)
+            seen[0].add(g)
+            seen[1].add(f)
+    assert sorted(r.n for r in generate.greedy_distinct(spark.createDataFrame(many, "n int, g string, f string"), "n", ("g", "f")).collect()) == want
+    wanted = spark.createDataFrame([(1, "a", "x", True), (2, "p", "y", True), (3, "b", "k", True), (4, "c", "x", True), (5, "d", "z", False)], "seq int, grp string, fingerprint string, valid boolean")
+    good, bad = generate.curriculum(wanted, spark.createDataFrame([("p",)], "grp string"), spark.createDataFrame([("k",)], "fingerprint string"))
+    assert [r.seq for r in good.collect()] == [1] and {r.seq: r.reason for r in bad.collect()} == {2: "protected_prompt", 3: "known_world", 4: "duplicate", 5: "invalid"}
     cases = spark.createDataFrame([("a", "p"), ("b", "q")], "id string, prompt string")
     backend = lambda prompts, feedback: [p if f is None else p + f for p, f in zip(prompts, feedback)]
     judge = lambda raws: raws.select("id", (F.col("raw") != "q").alias("passed"), F.lit("!").alias("feedback"))

@@ -6,7 +6,9 @@ import json
 
 import pytest
 
-from tessera.functions.decode import decode, decoded, fingerprint, world_objects
+from pyspark.sql import functions as F
+
+from tessera.functions.decode import decode, decoded, fingerprint, number_error, same_content, schema, world_objects
 
 WORLD = {"scene": "mill_pond", "objects": [{"object_type": "house", "id": "h_1", "position": [3, 4]}]}
 
@@ -46,7 +48,9 @@ def piece(**members):
         (changed(relations=[{"relation_type": "near", "source": "h_1"}]), ["missing"]),
         ('{"scene": "a", "scene": "mill", "objects": [{"object_type": "tree", "id": "t", "position": [1, 1]}]}', []),
         (piece(position=[1, 1]).replace("[1, 1]", "[1e999, 1]"), ["int_type"]),
-        (piece(position=[1, 1]).replace("[1, 1]", "[NaN, 1]"), ["int_type"]),
+        (piece(position=[1, 1]).replace("[1, 1]", "[NaN, 1]"), ["json_invalid"]),
+        ('{"x": NaN}', ["json_invalid"]),
+        ('{"x": -Infinity}', ["json_invalid"]),
     ],
 )
 def test_decode(raw, codes):
@@ -68,3 +72,20 @@ def test_frame(spark):
     prints = [r[0] for r in made.where("schema_ok").select(fingerprint(made.world)).collect()]
     assert prints[0] == prints[1]
     assert world_objects(made, "k").count() == 2
+
+
+def test_numbers_out_of_range():
+    assert number_error('{"a": [1, {"b": 1e999}]}') == "a number is beyond the range of doubles"
+    assert [number_error(t) for t in ('{"a": 1e308}', "{bad", '{"a": NaN}', None)] == [None] * 4
+
+
+def test_schema_names_every_member():
+    made = schema()
+    assert set(made["properties"]) == {"schema_version", "scene", "map", "objects", "relations"} and made["required"] == ["scene", "objects"]
+    assert json.loads(json.dumps(made)) == made
+
+
+def test_content_is_the_same(spark):
+    rows = spark.createDataFrame([(json.dumps(WORLD), changed(map={"width": 32})), (json.dumps(WORLD), changed(map={"width": 40}))], "a string, b string")
+    both = decoded(decoded(rows, "a").select("b", F.col("world").alias("w")), "b")
+    assert [r.s for r in both.select(same_content(F.col("w"), F.col("world")).alias("s")).collect()] == [True, False]
