@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.decode import decoded
 from tessera.functions.text import folding_table, normal, ordering, prompt_group, squeeze
-from tessera.operators import audit, curate, evaluate, windows
+from tessera.operators import audit, curate, evaluate
 from tessera.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -350,22 +350,6 @@ def json_props(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.count_if("ok").alias("valid"), F.sum("k").alias("k"))
 
 
-@query("token_windows", "WITH t AS (SELECT doc_id, greatest(length(text) // 4, 0) AS n FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, n, n // 4 + 1 AS start FROM t WHERE n // 4 + 1 < n), w AS (SELECT doc_id, n, start, unnest(range(1 + CAST(ceil(greatest(n - 128, 0) / 96.0) AS BIGINT))) AS k FROM s), e AS (SELECT *, k * 96 AS b, least(k * 96 + 128, n) AS z, greatest(start, CASE WHEN k = 0 THEN 0 ELSE k * 96 + 32 END, k * 96 + 1) AS f FROM w) SELECT doc_id, count(*) AS windows, CAST(sum(z - f) AS BIGINT) AS labelled, CAST(max(z - b) AS INTEGER) AS longest FROM e WHERE f < z GROUP BY 1")
-def token_windows(spark: SparkSession, folder: str) -> DataFrame:
-    """Windows of each document's tokens (here: numbered quarters of its characters), labelled positions, longest window."""
-    n = (F.char_length("text") / 4).cast("int")
-    rows = table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", n.alias("n")).where("n > 0").select("doc_id", F.sequence(F.lit(1), F.col("n")).alias("ids"), (F.floor(F.col("n") / 4) + 1).cast("int").alias("start"))
-    made = windows.assistant_windows(rows, "ids", "start", F.lit(128), F.lit(32))
-    labelled = F.size(F.filter("labels", lambda x: x != windows.UNLABELLED))
-    return made.groupBy("doc_id").agg(F.count(F.lit(1)).alias("windows"), F.sum(labelled.cast("long")).alias("labelled"), F.max(F.size("input_ids")).alias("longest"))
-
-
-@query("token_stats", SQL["token_windows"].replace("WITH t AS", "WITH per AS (WITH t AS", 1) + ") SELECT count(*) AS samples, CAST(sum(windows) AS BIGINT) AS windows, count(*) FILTER (windows > 1) AS long_samples, max(longest) AS longest, CAST(sum(labelled) AS BIGINT) AS labelled FROM per")
-def token_stats(spark: SparkSession, folder: str) -> DataFrame:
-    """Samples, windows, samples of several windows, longest window and labelled positions over all."""
-    return token_windows(spark, folder).agg(F.count(F.lit(1)).alias("samples"), F.sum("windows").alias("windows"), F.count_if(F.col("windows") > 1).alias("long_samples"), F.max("longest").alias("longest"), F.sum("labelled").alias("labelled"))
-
-
 def _answers(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "predictions").where("prediction_key IS NOT NULL").select("prediction_key", "variant", "raw_response")
     return decoded(rows.dropDuplicates(["prediction_key"]), "raw_response")

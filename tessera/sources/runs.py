@@ -35,6 +35,8 @@ def failure_reasons(status: Column, codes: Column) -> Column:
     return F.when(status == "success", F.array().cast("array<string>")).when(F.size(found) == 0, F.array(F.coalesce(status, F.lit("interrupted")))).otherwise(found)
 
 
-def accepted_response(finish_reason: Column, content: Column, refusal: Column) -> Column:
-    """Why a provider's response is not taken, null if it is: refused, not finished, or without content."""
-    return F.when(refusal.isNotNull(), "refusal").when(~finish_reason.eqNullSafe("stop"), "unfinished").when(content.isNull() | (F.trim(content) == ""), "empty")
+def accepted_response(finish_reason: Column, content: Column, refusal: Column, choices: Column | None = None) -> Column:
+    """Why a provider's response is not taken, null if it is: without choices (where their number is given), refused, not
+    finished, or without content."""
+    none = F.lit(False) if choices is None else F.coalesce(choices, F.lit(0)) == 0
+    return F.when(none, "no_choices").when(refusal.isNotNull(), "refusal").when(~finish_reason.eqNullSafe("stop"), "unfinished").when(content.isNull() | ~content.rlike(r"(?U)\S"), "empty")

@@ -84,6 +84,44 @@ def export(samples: DataFrame, path: str) -> dict:
     return manifest
 
 
+#: The files of a snapshot.
+SNAPSHOT = ("train", "val", "test", "valid", "failed")
+
+
+def export_snapshot(samples: DataFrame, path: str) -> dict[str, dict]:
+    """The snapshot of samples(id, split, status, ...): folders of JSON lines for each split, all valid and all failed ones,
+    and the membership; returns rows and digest by file. Failed samples have no split and keep neither messages nor counts.
+    Splits are those of the samples, so they are made anew whenever the snapshot grows."""
+    good = F.col("status") == "success"
+    bare = [c for c in samples.columns if c not in ("messages", "object_counts", "split")]
+    parts = {n: samples.where(good & (F.col("split") == n)).drop("split") for n in SNAPSHOT[:3]}
+    parts |= {"valid": samples.where(good).drop("split"), "failed": samples.where(~F.coalesce(good, F.lit(False))).select(*bare)}
+    parts["membership"] = samples.where(good).select("id", "split")
+    made = {}
+    for name, rows in parts.items():
+        made[name] = {"digest": write_lines(rows, f"{path}/{name}"), "rows": rows.count()}
+    return made
+
+
+def freeze_benchmark(tasks: DataFrame, path: str) -> dict:
+    """A benchmark of generate.benchmark() as an inventory that is written once, without its witnesses; other content is
+    refused. Returns its composition and digest."""
+    rows = tasks.drop("witness").withColumn("evaluation_only", F.lit(True))
+    signature = write_once(rows, path)
+    counts = {f"{r.difficulty} {r.relation}": r.n for r in rows.groupBy("difficulty", "relation").agg(F.count(F.lit(1)).alias("n")).orderBy("difficulty", "relation").collect()}
+    return {"tasks": sum(counts.values()), "composition": counts, "digest": signature}
+
+
+def write_runs(attempts: DataFrame, path: str) -> None:
+    """Audited runs: attempts(run_id, number, request, response, issues, provider) appended as they are, with the digest of each
+    response; and the run's end, with its number of attempts and the digest over all, in order of the attempts."""
+    audited = attempts.withColumn("response_sha256", F.sha2(F.coalesce("response", F.lit("")), 256))
+    audited.write.mode("append").parquet(f"{path}/attempts")
+    ends = audited.groupBy("run_id").agg(F.count(F.lit(1)).alias("attempts"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "response_sha256"))), lambda a: a["response_sha256"]), ",").alias("all"), F.max_by("issues", "number").alias("issues"))
+    status = F.when(F.col("issues").isNull(), "interrupted").when(F.size("issues") == 0, "success").otherwise("invalid")
+    ends.select("run_id", "attempts", status.alias("status"), F.sha2("all", 256).alias("sha256")).write.mode("append").parquet(f"{path}/runs")
+
+
 def percent(value: float | None, signed: bool = False) -> str:
     """Two places, n/a for null."""
     return "n/a" if value is None else f"{value * 100:{'+' if signed else ''}.2f}%"

@@ -6,10 +6,10 @@ import oracle
 import pytest
 from conftest import FOLDER
 
-from tessera.plans import curation, generation, nested, scalars, spatial, streams
+from tessera.plans import curation, generation, nested, scalars, spatial, stores, streams
 
-QUERIES = spatial.QUERIES | curation.QUERIES | nested.QUERIES | generation.QUERIES | scalars.QUERIES | streams.QUERIES
-SQL = spatial.SQL | curation.SQL | nested.SQL | scalars.SQL | streams.SQL
+QUERIES = spatial.QUERIES | curation.QUERIES | nested.QUERIES | generation.QUERIES | scalars.QUERIES | stores.QUERIES | streams.QUERIES
+SQL = spatial.SQL | curation.SQL | nested.SQL | scalars.SQL | stores.SQL | streams.SQL
 
 
 @pytest.fixture(scope="module")
