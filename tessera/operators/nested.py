@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.runtime import cut
+
 ROOT = "$"
 #: Elements whose member names are data: each member is a row with `key` and `value`.
 MAPS = ("object_counts", "minimum_relations")
@@ -49,8 +51,22 @@ def unfold(value: object) -> object:
     return value
 
 
+#: Types of single values, as bits: a leaf that has several is text.
+BOOLEAN, WHOLE, NUMBER, TEXT = 1, 2, 4, 8
+
+
+def _kind(value: object) -> int:
+    if value is None:
+        return 0
+    if isinstance(value, bool):
+        return BOOLEAN
+    if isinstance(value, int):
+        return WHOLE if -(2**63) <= value < 2**63 else TEXT
+    return NUMBER if isinstance(value, float) else TEXT
+
+
 def _edges(record: dict, maps: tuple[str, ...], found: dict[tuple[str, str], list[int]]) -> None:
-    """Adds what a record tells to found: (parent, element) -> [repeats, holds members or elements]."""
+    """Adds what a record tells to found: (parent, element) -> [repeats, holds members or elements, types of its values]."""
     stack: list[tuple[str, object]] = [(ROOT, record)]
     while stack:
         tag, value = stack.pop()
@@ -58,10 +74,14 @@ def _edges(record: dict, maps: tuple[str, ...], found: dict[tuple[str, str], lis
             child = unfold(child)
             many = isinstance(child, list) or name in maps and isinstance(child, dict)
             complex_ = isinstance(child, (dict, list))
-            seen = found.setdefault((tag, name), [0, 0])
+            seen = found.setdefault((tag, name), [0, 0, 0])
             seen[0] |= many
             seen[1] |= complex_
+            if not complex_:
+                seen[2] |= _kind(child)
             if name in maps and isinstance(child, dict):
+                for value in child.values():
+                    seen[2] |= _kind(value)
                 continue
             # Lists in lists are levels of one element.
             parts = [child]
@@ -71,6 +91,8 @@ def _edges(record: dict, maps: tuple[str, ...], found: dict[tuple[str, str], lis
                     parts += part
                 elif isinstance(part, dict):
                     stack.append((name, part))
+                elif many:
+                    seen[2] |= _kind(part)
 
 
 def _graph(column: str, maps: tuple[str, ...]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -81,16 +103,16 @@ def _graph(column: str, maps: tuple[str, ...]) -> Callable[[Iterator[pd.DataFram
                 record = parse(text)
                 if record is not None:
                     _edges(record, maps, found)
-        yield pd.DataFrame([(a, b, bool(m), bool(c)) for (a, b), (m, c) in found.items()], columns=["parent", "element", "many", "complex"])
+        yield pd.DataFrame([(a, b, bool(m), bool(c), t) for (a, b), (m, c, t) in found.items()], columns=["parent", "element", "many", "complex", "types"])
 
     return run
 
 
 def schema_graph(records: DataFrame, column: str, maps: tuple[str, ...] = MAPS) -> DataFrame:
-    """(parent, element, many, complex): the edges of the schema graph of all records, gathered in one pass; each task
-    sends only its distinct edges."""
-    edges = records.select(column).mapInPandas(_graph(column, maps), "parent string, element string, many boolean, complex boolean")
-    return edges.groupBy("parent", "element").agg(F.max("many").alias("many"), F.max("complex").alias("complex"))
+    """(parent, element, many, complex, types): the edges of the schema graph of all records, gathered in one pass; each
+    task sends only its distinct edges."""
+    edges = records.select(column).mapInPandas(_graph(column, maps), "parent string, element string, many boolean, complex boolean, types int")
+    return edges.groupBy("parent", "element").agg(F.max("many").alias("many"), F.max("complex").alias("complex"), F.bit_or("types").alias("types"))
 
 
 @dataclass(frozen=True)
@@ -201,9 +223,58 @@ def flatten(records: DataFrame, key: str, column: str, plan: Layout, wanted: tup
     return once.mapInPandas(_flatten(key, column, plan, None if wanted is None else frozenset(wanted)), f"{key} {kind}, {ROW_SCHEMA}")
 
 
-def tables_of(flat: DataFrame, key: str) -> Callable[[str, tuple[str, ...]], DataFrame]:
-    """table(name, fields): one of the flat tables with the given fields as columns."""
-    return lambda name, fields: flat.where(F.col("tab") == name).select(key, "row_id", "parent_tab", "parent_id", "ord", *[F.col("fields")[f].alias(f.replace(".", "_")) for f in fields])
+def columns_of(graph: DataFrame, plan: Layout) -> dict[str, dict[str, str]]:
+    """The columns of each table with their types, by the graph: the leaves of an element and of those inlined in it, by their
+    path. Leaves of one type have it; whole and other numbers together are doubles; anything else is text."""
+    below: dict[str, list] = {}
+    for e in graph.orderBy("parent", "element").collect():
+        below.setdefault(e.parent, []).append(e)
+    named = lambda t: {BOOLEAN: "boolean", WHOLE: "bigint", NUMBER: "double", WHOLE | NUMBER: "double"}.get(t, "string")
+    out: dict[str, dict[str, str]] = {}
+
+    def leaves(element: str, prefix: str, found: dict[str, str]) -> None:
+        for e in below.get(element, ()):
+            path = f"{prefix}{e.element}"
+            if e.element in plan.tables:
+                continue
+            if e.complex:
+                leaves(e.element, f"{path}.", found)
+            if e.types or not e.complex:
+                found[path] = named(e.types)
+
+    for tab in sorted(plan.tables):
+        own: dict[str, str] = {}
+        types = 0
+        for edges in below.values():
+            for e in edges:
+                types |= e.types if e.element == tab else 0
+        if tab in plan.maps:
+            own |= {"key": "string"}
+        if types:
+            own["value"] = named(types)
+        leaves(tab, "", own)
+        out[tab] = own
+    return out
+
+
+def flat_tables(records: DataFrame, key: str, column: str, maps: tuple[str, ...] = MAPS, always: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """The flat tables of nested records by name, `$` for the records themselves: (key, row_id, parent_tab, parent_id, ord)
+    and a typed column for each leaf, dots in its path as underscores. (key, row_id) is the key of a row over all tables,
+    (key, parent_id) refers to the parent's row in parent_tab. Null where a record hasn't the leaf."""
+    graph = cut(schema_graph(records, column, maps))
+    plan = layout(graph, maps, always)
+    flat = cut(flatten(records, key, column, plan))
+    made = {}
+    for tab, columns in columns_of(graph, plan).items():
+        names: dict[str, str] = {}
+        for path in columns:
+            name = path.replace(".", "_")
+            while name in (key, "row_id", "parent_tab", "parent_id", "ord") or name in names.values():
+                name += "_"
+            names[path] = name
+        leaves = [F.col("fields")[path].try_cast(kind).alias(names[path]) for path, kind in columns.items()]
+        made[tab] = flat.where(F.col("tab") == tab).select(key, "row_id", "parent_tab", "parent_id", "ord", *leaves)
+    return made
 
 
 #: Tables of a world and of its expectations.

@@ -27,5 +27,10 @@ def p5_rows(spark: SparkSession, folder: str) -> DataFrame:
     return flat.withColumn("fields", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("fields"))), {"ignoreNullFields": "false"}))
 
 
-QUERIES = {"p5_found": p5_found, "p5_schema": p5_schema, "p5_rows": p5_rows}
+def p5_objects(spark: SparkSession, folder: str) -> DataFrame:
+    """The flat table of objects, with typed columns for all their leaves and the key of their parent."""
+    return nested.flat_tables(table(spark, folder, "run_records"), "run_id", "record", always=nested.WORLD_TABLES)["objects"]
+
+
+QUERIES = {"p5_objects": p5_objects, "p5_found": p5_found, "p5_schema": p5_schema, "p5_rows": p5_rows}
 SQL: dict[str, str] = {}

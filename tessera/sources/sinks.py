@@ -9,7 +9,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,20 @@ def write_json(path: str | Path, value: object) -> None:
     aside.replace(target)
 
 
+def write_document(spark: SparkSession, path: str, value: object) -> None:
+    """write_json() to whatever file system the path names: written aside, then renamed."""
+    text = json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True, allow_nan=False) + "\n"
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, aside = hadoop.Path(path), hadoop.Path(f"{path}.tmp")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(aside, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    files.delete(target, False)
+    if not files.rename(aside, target):
+        raise OSError(f"{path} could not be written")
+
+
 def json_rows(rows: DataFrame) -> DataFrame:
     """(value): each row as JSON with its members by name, nulls included."""
     return rows.select(F.to_json(F.struct(*[F.col(c) for c in sorted(rows.columns)]), {"ignoreNullFields": "false"}).alias("value"))
@@ -80,7 +94,7 @@ def export(samples: DataFrame, path: str) -> dict:
     member.write.parquet(f"{path}/membership")
     counts = {r.split: r.n for r in member.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
     manifest = {"counts": counts, "digests": {"membership": digest(member), "alpaca": digest(alpaca)}, "columns": {"instruction": "user turn", "output": "assistant turn", "system": "system turn"}}
-    write_json(Path(path.removeprefix("file://")) / "manifest.json", manifest)
+    write_document(samples.sparkSession, f"{path}/manifest.json", manifest)
     return manifest
 
 
@@ -100,6 +114,7 @@ def export_snapshot(samples: DataFrame, path: str) -> dict[str, dict]:
     made = {}
     for name, rows in parts.items():
         made[name] = {"digest": write_lines(rows, f"{path}/{name}"), "rows": rows.count()}
+    write_document(samples.sparkSession, f"{path}/manifest.json", made)
     return made
 
 

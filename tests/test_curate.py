@@ -129,6 +129,18 @@ def test_nested_links(spark):
     assert [r.fields.get("d.e") for r in flat if r.tab == "b"] == ["2", None]
 
 
+def test_flat_tables_are_typed(spark):
+    texts = [("1", json.dumps({"title": "a", "row_id": 7, "size": {"w": 1, "h": 2.5}, "parts": [{"n": 1, "ok": True}, None, {"n": 2, "ok": None, "more": {"deep": "x"}}], "tags": [1, 2.5]})), ("2", json.dumps({"title": 5, "parts": {"n": 3}})), ("3", "[]")]
+    made = nested.flat_tables(spark.createDataFrame(texts, "k string, j string"), "k", "j")
+    assert set(made) == {"$", "parts", "tags"}
+    kinds = {t: {f.name: f.dataType.simpleString() for f in made[t].schema if f.name not in ("k", "row_id", "parent_tab", "parent_id", "ord")} for t in made}
+    assert kinds == {"$": {"row_id_": "bigint", "size_w": "bigint", "size_h": "double", "title": "string"}, "parts": {"n": "bigint", "ok": "boolean", "more_deep": "string"}, "tags": {"value": "double"}}
+    assert sorted((r.k, r.ord, r.n, r.ok, r.more_deep) for r in made["parts"].collect()) == [("1", 0, 1, True, None), ("1", 2, 2, None, "x"), ("2", 0, 3, None, None)]
+    linked = made["parts"].alias("p").join(made["$"].alias("r"), F.expr("p.k = r.k AND p.parent_id = r.row_id AND p.parent_tab = '$'"))
+    assert linked.count() == 3 and sorted(r.value for r in made["tags"].collect()) == [1.0, 2.5]
+    assert {r.title for r in made["$"].collect()} == {"a", "5"}
+
+
 def test_join_with_hot_key(spark, monkeypatch):
     import tessera.runtime as runtime
 
