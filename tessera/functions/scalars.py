@@ -26,3 +26,20 @@ def finite(value: Column) -> Column:
 def half_even(value: Column, places: int = 0) -> Column:
     """Rounded, ties to the even neighbour."""
     return F.bround(value, places)
+
+
+def utc_text(time: Column) -> Column:
+    """A time as text in ISO form, in UTC to the second."""
+    return F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def shortened(text: Column, most: int) -> Column:
+    """A text of at most so many characters; what is cut off ends with an ellipsis."""
+    return F.when(F.char_length(text) > most, F.concat(F.left(text, F.lit(most - 1)), F.lit("…"))).otherwise(text)
+
+
+def merged_maps(low: Column, high: Column) -> Column:
+    """Both maps' members, those of `high` where both have one; null counts as empty. Whatever the session does about
+    repeated keys."""
+    low, high = (F.coalesce(m, F.create_map().cast("map<string,string>")) for m in (low, high))
+    return F.map_concat(F.map_filter(low, lambda k, _: ~F.map_contains_key(high, k)), high)

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.decode import decoded
 from tessera.functions.text import fold, folding_table, normal, ordering
-from tessera.operators import audit, curate, evaluate, generate, nested, windows
+from tessera.operators import audit, batch, curate, evaluate, generate, local, nested, windows
 from tessera.runtime import join_unique
-from tessera.sources import documents, runs, sinks
+from tessera.sources import documents, runs, samples, sinks
 from tessera.streaming import ingest
 
 
@@ -262,6 +262,40 @@ def test_generators(spark):
     assert sorted(tuple(r) for r in generate.repair_rounds(cases, backend, judge).collect()) == [("a", 1, "p", True), ("b", 1, "q", False), ("b", 2, "q!", True)]
 
 
+def test_batch_goes_on_and_stops(spark, tmp_path):
+    cases = spark.createDataFrame([(f"c{i}", "good" if i < 4 else "bad") for i in range(10)], "id string, prompt string")
+    backend = lambda prompts, feedback: list(prompts)
+    judge = lambda raws: raws.select("id", (F.col("raw") == "good").alias("passed"), F.lit("!").alias("feedback"))
+    place = str(tmp_path / "run")
+    first = batch.run_batch(cases, backend, judge, place, block=2, attempts=2, budget=3)
+    assert first == {"reason": "budget", "planned": 10, "passed": 4, "failed": 0, "not_run": 6, "attempts": 4}
+    (tmp_path / "run/stop").write_text("")
+    assert batch.run_batch(cases, backend, judge, place, block=2)["reason"] == "stopped"
+    (tmp_path / "run/stop").unlink()
+    assert batch.run_batch(cases, backend, judge, place, block=2, attempts=1, breaker=2) == {"reason": "breaker", "planned": 10, "passed": 4, "failed": 4, "not_run": 2, "attempts": 8}
+    assert batch.run_batch(cases, backend, judge, place, block=5, attempts=1)["reason"] == "finished"
+    assert spark.read.parquet(f"{place}/blocks").count() == 10
+
+
+def test_sample_worlds_are_sound(spark):
+    made = local.with_issues(evaluate.as_rows(decoded(samples.sample_worlds(spark), "raw")))
+    assert [(r.schema_ok, r.issues) for r in made.collect()] == [(True, [])] * 5
+
+
+def test_snapshot_and_benchmark(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "train", "success", ["m"]), ("b", "val", "success", ["m"]), ("c", None, "failed", ["m"]), ("d", "train", None, None)], "id string, split string, status string, messages array<string>")
+    made = sinks.export_snapshot(rows, str(tmp_path / "s"))
+    assert {k: v["rows"] for k, v in made.items()} == {"train": 1, "val": 1, "test": 0, "valid": 2, "failed": 2, "membership": 2}
+    assert "messages" not in spark.read.json(str(tmp_path / "s/failed")).columns and json.loads((tmp_path / "s/manifest.json").read_text()) == made
+    grown = sinks.export_snapshot(rows.withColumn("split", F.lit("test")), str(tmp_path / "t"))
+    assert grown["test"]["rows"] == 2 and grown["valid"] == made["valid"]
+    tasks = generate.benchmark(spark, 10, 1)
+    assert sinks.freeze_benchmark(tasks, str(tmp_path / "b")) == sinks.freeze_benchmark(tasks, str(tmp_path / "b"))
+    assert "witness" not in spark.read.parquet(str(tmp_path / "b")).columns
+    with pytest.raises(ValueError):
+        sinks.freeze_benchmark(generate.benchmark(spark, 10, 2), str(tmp_path / "b"))
+
+
 def test_ingest_admits_once(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 1), (None, 3)], "id string, v int")
