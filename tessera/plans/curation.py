@@ -110,7 +110,7 @@ def split_group_fraction(spark: SparkSession, folder: str) -> DataFrame:
     return docs.join(split, "grp").select("doc_id", "split")
 
 
-@query("split_stats", SQL["split_group_fraction"].replace("SELECT d.doc_id,", "SELECT d.doc_id, d.source,", 1).replace("WITH docs", "WITH split AS (WITH docs", 1) + ") SELECT split, count(*) AS documents, count(DISTINCT source) AS sources FROM split GROUP BY 1")
+@query("split_stats", SQL["split_group_fraction"].replace("SELECT d.doc_id,", "SELECT d.doc_id, d.source,", 1).replace("WITH fold", "WITH split AS (WITH fold", 1) + ") SELECT split, count(*) AS documents, count(DISTINCT source) AS sources FROM split GROUP BY 1")
 def split_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and sources by split."""
     sources = table(spark, folder, "documents").select("doc_id", "source")

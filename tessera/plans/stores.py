@@ -169,10 +169,10 @@ def log_pending(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.pending(table(spark, folder, "messages").where("id IS NOT NULL").select("id").distinct(), _states(spark, folder))
 
 
-@query("log_snapshot", _STATES + ", last AS (SELECT id, arg_max(state, seq) AS state, max(seq) AS seq FROM log GROUP BY 1) SELECT id, seq FROM last WHERE state = 'finished' ORDER BY seq LIMIT 100")
+@query("log_snapshot", _STATES + ", last AS (SELECT id, arg_max(state, seq) AS state, max(seq) AS seq FROM log GROUP BY 1) SELECT id, seq FROM last WHERE state = 'finished' ORDER BY seq LIMIT 50")
 def log_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """The first hundred finished cases in order of commitment."""
-    return documents.snapshot(_states(spark, folder), 100).select("id", "seq")
+    """The first fifty finished cases in order of commitment."""
+    return documents.snapshot(_states(spark, folder), 50).select("id", "seq")
 
 
 @query("gate_paths", "SELECT prompt AS path, NOT (prompt = '' OR regexp_matches(prompt, '^([/\\\\]|[A-Za-z]:)') OR list_contains(regexp_split_to_array(prompt, '[/\\\\]+'), '..')) AS contained FROM (SELECT DISTINCT CASE ascii(id) % 4 WHEN 0 THEN '/' || theme WHEN 1 THEN theme || '/../' || source ELSE theme || '/' || source END AS prompt FROM prompt_specs WHERE theme IS NOT NULL AND source IS NOT NULL)")
