@@ -202,6 +202,22 @@ def test_cuts_are_optimal():
         assert abs(sum(((b - a - even) / 60) ** 2 + price[b] for a, b in spans) - least_cost(text, 60, 10)) < 1e-9
 
 
+def test_leaving_out_dear_boundaries_costs_nothing(monkeypatch):
+    """The cuts chosen among the offered boundaries, held against the best ones among all boundaries."""
+    rng = random.Random(10)
+    for _ in range(40):
+        text = "".join(rng.choice(["word ", "longer ", "end. ", "part, ", "line\n", "block\n\n", "x" * rng.randrange(1, 12)]) for _ in range(150))
+        limit, over = rng.randrange(60, 160), rng.randrange(0, 30)
+        spans = pieces.cut_points(text, limit, over)
+        with monkeypatch.context() as patch:
+            patch.setattr(pieces, "DEAR", float("inf"))
+            places, costs = pieces.boundaries(text, limit - over)
+            price = dict(zip(places.tolist(), costs.tolist())) | {len(text): 0.0}
+            even = (len(text) - over) / -(-(len(text) - over) // (limit - over)) + over
+            cost = sum(((b - a - even) / limit) ** 2 + price[b] for a, b in spans)
+            assert cost <= least_cost(text, limit, over) + 1e-9
+
+
 @given(st.text(max_size=300))
 @settings(max_examples=150, deadline=None)
 def test_encoding_round_trip(text):
