@@ -409,7 +409,7 @@ def _described(names: list[str], descriptions: dict[str, str], classes: int) ->
     return Counts.sum(parts, classes)
 
 
-def fallback_of(rows: Iterable[Iterable[str]], descriptions: dict[str, str]) -> str | None:
+def fallback_of(descriptions: dict[str, str]) -> str | None:
     """The subject that is given only where no other is: the one whose description says so, or else none."""
     return next((s for s in sorted(descriptions) if re.search(r"\bnone of the other\b|\bno other\b", descriptions[s], re.I)), None)
 
@@ -417,7 +417,7 @@ def fallback_of(rows: Iterable[Iterable[str]], descriptions: dict[str, str]) ->
 def fit(rows: Iterable[tuple[str | None, Iterable[str]]], descriptions: dict[str, str], fallback: str | None = None) -> tuple[Model, Labelled, Counts]:
     """The model, the documents made ready and their counts, from labelled texts and the subjects' descriptions."""
     rows = list(rows)
-    fallback = fallback or fallback_of((), descriptions)
+    fallback = fallback or fallback_of(descriptions)
     names = sorted(s for s in descriptions if s != fallback)
     model = Model(names, fallback)
     k = len(names)
