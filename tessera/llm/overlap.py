@@ -6,9 +6,10 @@ backward search. Equal texts are one class from the start, so copies are neither
 
 A training text is cut into pieces, each a match of the index. Two texts that differ in at most n words have one of any
 n + 1 pieces in common, as a change spoils one piece at most: so the n + 1 pieces with the fewest places are taken, and
-all places of each are candidates, however many there are. Pieces that stand nowhere have none. Matched spans of a pair
-are merged and what they leave is counted: a pair is near if at most a given share of its words is changed, added or
-dropped.
+all places of each are candidates, however many there are. Pieces that stand nowhere have none. Of a candidate the words
+that are changed, added or dropped are counted, segments in any order; where that is too many, the spans that both share in
+any order are merged and what they leave is counted, as a lost sentence end may hide that a sentence has moved. The pair is
+near if at most a given share of its words is left.
 """
 
 from __future__ import annotations
@@ -27,10 +28,13 @@ from pyspark.sql import functions as F
 from tessera.llm.dedup import keyed
 from tessera.llm.fmindex import FMIndex, pieces
 from tessera.llm.groups import split_name
+from tessera.llm.tiling import tiles
 from tessera.runtime import cut, drop_folder, join_unique, new_folder, read_folder
 
 #: Largest share of changed, added or dropped words: near copies have up to one in eight, other pairs one in five.
 MOST_CHANGED = 0.16
+#: Words of a span that may stand anywhere.
+LEAST_SPAN = 4
 #: Symbols of a shard's texts, about; its index is built in one task. Characters of a block of training texts.
 SHARD_SYMBOLS = 4_000_000
 BLOCK_CHARS = 16_000_000
@@ -96,6 +100,13 @@ def changed(x: list[list], y: list[list]) -> int:
     return min(whole, total + sum(map(len, others)))
 
 
+def moved(x: list[list], y: list[list]) -> int:
+    """Words outside of the spans that two texts share, whatever the order of the spans: sentences may have moved although a
+    sentence end was lost on one side. Spans are tiles of at least LEAST_SPAN words; shorter ones count as changed."""
+    a, b = ([w for s in text for w in s] for text in (x, y))
+    return max(len(a), len(b)) - sum(n for _, _, n in tiles(a, b, LEAST_SPAN))
+
+
 def changed_words(a: str, b: str) -> int:
     """changed() of two texts with a segment on each line."""
     return changed([s.split() for s in a.split("\n")], [s.split() for s in b.split("\n")])
@@ -252,7 +263,10 @@ def search(shard: Shard, block: Block, share: float) -> Iterator[tuple[int, int,
             for i, j, n in zip((pairs // len(shard.keys)).tolist(), (pairs % len(shard.keys)).tolist(), most[first].tolist()):
                 if i != last:
                     last, mine = i, [[look(w, -1) for w in block.lines[s]] for s in block.texts[i]]
-                differing = changed(mine, shard.segments(j))
+                theirs = shard.segments(j)
+                differing = changed(mine, theirs)
+                if differing > n:
+                    differing = moved(mine, theirs)
                 if differing <= n:
                     yield i, j, differing
 

@@ -95,6 +95,12 @@ def all_near_pairs(evaluation, training):
     return {(t.k, e.k) for t in training.itertuples() for e in evaluation.itertuples() if overlap.changed_words(t.segs, e.segs) <= allowed(t.segs, e.segs)}
 
 
+def all_moved_pairs(evaluation, training):
+    parts = lambda text: [s.split() for s in text.split("\n")]
+    size = lambda text: len(text.split())
+    return {(t.k, e.k) for t in training.itertuples() for e in evaluation.itertuples() if overlap.moved(parts(t.segs), parts(e.segs)) <= int(overlap.MOST_CHANGED * max(size(t.segs), size(e.segs)) + 1e-9)}
+
+
 def test_near_pairs_against_brute_force():
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(60)]
@@ -111,7 +117,8 @@ def test_near_pairs_against_brute_force():
     evaluation = pd.DataFrame({"k": [f"e{i}" for i in range(60)], "segs": base})
     training = pd.DataFrame({"k": [f"t{i}" for i in range(120)], "segs": [edited(base[i % 60]) for i in range(120)]})
     want = all_near_pairs(evaluation, training)
-    assert near_pairs(evaluation, training) == want and len(want) > 40
+    got = near_pairs(evaluation, training)
+    assert want <= got <= want | all_moved_pairs(evaluation, training) and len(want) > 40
 
 
 @pytest.mark.parametrize("family", [20, 50, 100, 300])
@@ -142,10 +149,22 @@ def test_no_near_pair_is_missed(monkeypatch):
     training = pd.DataFrame({"k": [f"t{i}" for i in range(300)], "segs": texts[300:]})
     want = all_near_pairs(evaluation, training)
     assert len(want) > 100
+    further = all_moved_pairs(evaluation, training)
     for held, places in ((overlap.HELD, 128), (7, 1), (50, 4)):
         monkeypatch.setattr(overlap, "HELD", held)
         monkeypatch.setattr(overlap, "FIRST_PLACES", places)
-        assert near_pairs(evaluation, training) == want
+        got = near_pairs(evaluation, training)
+        assert want <= got <= want | further
+
+
+def test_moved_sentence_with_a_lost_end():
+    """Sentences in another order, and one end lost on either side: near all the same."""
+    parts = ["one river runs past the old mill at noon", "two goats stand near the wall of the yard", "the gate is open and the road leads north", "nine lamps burn above the market until dawn"]
+    a, b = "\n".join(parts), "\n".join([parts[3], parts[1], parts[0], parts[2]])
+    lost = "\n".join([f"{parts[0]} {parts[1]}", parts[2], parts[3]])
+    evaluation = pd.DataFrame({"k": ["a", "b", "lost"], "segs": [a, b, lost]})
+    training = pd.DataFrame({"k": ["x", "y", "z"], "segs": [lost, b, a]})
+    assert near_pairs(evaluation, training) == {(t, e) for t in "xyz" for e in ("a", "b", "lost")}
 
 
 def test_lost_and_moved_sentence_ends():
